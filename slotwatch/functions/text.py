@@ -79,6 +79,16 @@ def commas(col: Column) -> Column:
     return F.format_number(col, 0)
 
 
+def fixed(col: Column, digits: int) -> Column:
+    """Number with a fixed count of decimals and no separators.
+
+    Rounded from the six decimals every result has, so that the last digit does not
+    depend on how an engine sums floating-point values.
+    """
+    exact = F.round(col.cast("double"), 6).cast("decimal(38,6)")
+    return F.round(exact, digits).cast(f"decimal(38,{digits})").cast("string")
+
+
 def _n(col: Column) -> Column:
     return col.cast("string")
 
