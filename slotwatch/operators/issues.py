@@ -88,11 +88,11 @@ def event_histogram(rows: DataFrame, keys: Sequence[str], n: int, ts: str = "ts_
     ).cast("double")
     counts = (
         join_small(rows, span, keys)
-        .select(*keys, F.least((share * F.lit(float(n))).cast("int"), F.lit(n - 1)).alias("bin"))
+        .select(*keys, F.least((share * F.lit(float(n))).cast("bigint"), F.lit(n - 1)).alias("bin"))
         .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    spine = span.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
+    spine = span.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("bin"))
     return spine.join(counts, [*keys, "bin"], "left").select(
         *keys, "bin", F.coalesce("_n", F.lit(0)).alias("n")
     )

@@ -44,7 +44,11 @@ def lifecycle_latency(slots: DataFrame) -> DataFrame:
 def top_per_log(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each log; pruned to k per task before the shuffle."""
     place = F.row_number().over(Window.partitionBy("log_id").orderBy(*order))
-    return df.withColumn("place", place).where(F.col("place") <= k)
+    return (
+        df.withColumn("place", place)
+        .where(F.col("place") <= k)
+        .withColumn("place", F.col("place").cast("bigint"))
+    )
 
 
 def top_slowest_slots(slots: DataFrame, k: int = 5) -> DataFrame:
@@ -112,7 +116,7 @@ def resume_distribution(resumes: DataFrame) -> DataFrame:
         F.array(
             *[
                 F.struct(
-                    F.lit(i).alias("bin"),
+                    F.lit(i).cast("bigint").alias("bin"),
                     F.lit(label).alias("label"),
                     F.count_if((us >= lo) & (us < hi) if hi is not None else us >= lo).alias("n"),
                 )

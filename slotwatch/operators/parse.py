@@ -290,14 +290,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     def of_event(col: Column, *kinds: str) -> Column:
         return F.when(F.col("kind").isin(*kinds) if kinds else event, col)
 
-    return step.select(
-        "log_id",
-        "seq",
+    fields = F.struct(
         outcome.alias("outcome"),
         F.when(kept, F.col("ts_ns")).alias("ts_ns"),
         F.when(kept, F.col("level")).alias("level"),
         F.when(kept, F.col("module")).alias("module"),
-        "kind",
+        F.col("kind"),
         of_event(F.when(~is_epoch, F.col("first"))).alias("slot"),
         of_event(F.col("extra_n"), *_kinds_with("slot_end")).alias("slot_end"),
         of_event(F.col("hash")).alias("hash"),
@@ -308,6 +306,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         of_event(F.col("extra_n"), *_kinds_with("n")).alias("n"),
         F.when(~event, issue_body(F.col("body"))).alias("body"),
     )
+    # The one-row generator keeps a caller's filter above the parse. Without it the
+    # optimizer rewrites a test such as outcome = 'event' into the raw line, through
+    # every step above, and repeats each step wherever the next one uses it.
+    return step.select("log_id", "seq", F.inline(F.array(fields)))
 
 
 def parse_events(parsed: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ class LogTables:
         self.lines = lines
         self.store = store
         self._kept: list[DataFrame] = []
+        self._buckets: dict[int, DataFrame] = {}
 
     def _stage(self, name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         if self.store:
@@ -47,6 +48,9 @@ class LogTables:
         for df in self._kept:
             df.unpersist()
         self._kept.clear()
+        self._buckets.clear()
+        for name in [n for n, v in type(self).__dict__.items() if isinstance(v, cached_property)]:
+            self.__dict__.pop(name, None)
 
     # --- stages -------------------------------------------------------------------
     @cached_property
@@ -223,7 +227,10 @@ class LogTables:
 
     # --- time ---------------------------------------------------------------------
     def time_buckets(self, bucket_secs: int = DEFAULT_BUCKET_SECS) -> DataFrame:
-        return buckets.time_buckets(self.slots, self.resumes, self.meta, bucket_secs)
+        if bucket_secs not in self._buckets:
+            df = buckets.time_buckets(self.slots, self.resumes, self.meta, bucket_secs)
+            self._buckets[bucket_secs] = self._stage(f"time_buckets_{bucket_secs}", df)
+        return self._buckets[bucket_secs]
 
     def bucket_series(self, bucket_secs: int = DEFAULT_BUCKET_SECS) -> DataFrame:
         return buckets.bucket_series(self.time_buckets(bucket_secs), bucket_secs)
