@@ -196,7 +196,7 @@ def deviation_series(long: DataFrame) -> DataFrame:
     base = exact_ranks(long, keys, "value", {"baseline": rank_tenth}).select(
         *keys, "baseline", F.greatest(F.col("max_value") - F.col("baseline"), F.lit(1).cast("bigint")).alias("dev_peak")
     )
-    return join_small(long, base, keys).select(
+    return long.join(base, keys).select(
         *keys,
         "bucket",
         "value",

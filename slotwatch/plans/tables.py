@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,42 +14,30 @@ from slotwatch.operators import slots as S
 from slotwatch.operators import view as V
 from slotwatch.operators import windows as W
 from slotwatch.plans.report import summary_report
-from slotwatch.session import prepare
+from slotwatch.session import fresh_path, prepare
 
 
 class LogTables:
     """Result tables over ``lines[log_id, seq, line]``.
 
     The text is parsed once. The tables many others read (``parsed``, ``slots``,
-    ``resumes`` and the per-log ones) are stages: with ``store`` set each is written
-    there as Parquet and read back, so later reads push filters and columns down;
-    otherwise it is persisted (memory, then disk), and lost blocks are recomputed.
+    ``resumes`` and the per-log ones) are stages: each is written as Parquet under
+    ``store`` and read back. Later reads push filters and columns down, their plans
+    start at a file scan of known size instead of at the raw text, and a lost executor
+    costs one file read. ``store`` defaults to a new folder in the shared folder.
     """
 
     def __init__(self, lines: DataFrame, store: str | None = None):
         self.spark = prepare(lines.sparkSession)
         self.lines = lines
-        self.store = store
-        self._kept: list[DataFrame] = []
+        self.store = (store or fresh_path(self.spark, "logtables")).rstrip("/")
         self._buckets: dict[int, DataFrame] = {}
 
     def _stage(self, name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        if self.store:
-            path = f"{self.store.rstrip('/')}/{name}"
-            writer = df.write.mode("overwrite")
-            (writer.partitionBy(*by) if by else writer).parquet(path)
-            return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._kept.append(kept)
-        return kept
-
-    def release(self) -> None:
-        for df in self._kept:
-            df.unpersist()
-        self._kept.clear()
-        self._buckets.clear()
-        for name in [n for n, v in type(self).__dict__.items() if isinstance(v, cached_property)]:
-            self.__dict__.pop(name, None)
+        path = f"{self.store}/{name}"
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     # --- stages -------------------------------------------------------------------
     @cached_property

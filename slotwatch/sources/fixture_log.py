@@ -222,6 +222,11 @@ EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "props")
 def fixture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered log of one test-data folder."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENT_COLUMNS)
+    # A small table is one file and would be rendered by one task; its compact rows are
+    # spread first. Larger tables already have a split per core.
+    cores = spark.sparkContext.defaultParallelism
+    if len(events.inputFiles()) < cores and events.rdd.getNumPartitions() < cores:
+        events = events.repartition(cores)
     # The highest odd id names the last slot of the second log.
     last = events.agg(F.max(F.when(F.col("event_id") % 2 == 1, F.col("event_id"))).alias("m")).select(
         (F.lit(FIRST_SLOT) + F.call_function("div", F.col("m"), F.lit(2))).alias("last_slot")
