@@ -22,6 +22,8 @@ def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .parquet(sf_dir)
         .select(*EVENT_COLUMNS)
     )
+    # One small file is one task; its compact rows are spread before they become lines.
+    stream = stream.repartition(spark.sparkContext.defaultParallelism)
     return render(stream, F.lit(FIRST_SLOT + last_id // 2).cast("bigint"))
 
 
