@@ -33,7 +33,7 @@ def read_log_lines(
 ) -> DataFrame:
     """Read text logs: ``[log_id, seq, line, file_path, file_size]``.
 
-    ``log_id`` maps a file path to its log; by default every file is a log of its own.
+    ``log_id`` maps a file path (as a URI) to its log; by default every file is a log of its own.
     Where a log spans several files, ``file_order`` maps a path to its place in the log
     (default: the path). Lines end with a newline; one carriage return before it is
     dropped, and lone carriage returns stay in the line.
@@ -46,7 +46,8 @@ def read_log_lines(
             F.when(F.endswith(F.col("value"), F.lit("\r")), F.expr("left(value, length(value) - 1)"))
             .otherwise(F.col("value"))
             .alias("line"),
-            F.col("_metadata.file_path").alias("file_path"),
+            # The same spelling of a path as in the driver's file listing below.
+            F.input_file_name().alias("file_path"),
             F.col("_metadata.file_size").alias("file_size"),
             position_in_file().alias("_pos"),
         )

@@ -167,7 +167,7 @@ def test_groups_and_alert_order(make_lines):
         ("Info", "IdentityChanged", "Operator rotated validat"),
     ]
     detail = {r.alert_rank: r for r in A.alert_detail(alerts, groups).collect()}
-    assert (detail[4].count, detail[4].span_secs, detail[4].rate_per_min, detail[4].module_short) == (2, 2, 60.0, "standstill")
+    assert (detail[4]["count"], detail[4].span_secs, detail[4].rate_per_min, detail[4].module_short) == (2, 2, 60.0, "standstill")
     assert detail[1].rate_per_min is None and detail[1].preview == "bad 0" and detail[1].module_short == "a"
     assert detail[7].span_secs is None
     roll = A.alert_rollup(alerts).first()
