@@ -68,9 +68,21 @@ def log_issue_groups(issues: DataFrame, cap: int = MAX_GROUP_TIMESTAMPS) -> Data
     )
 
 
-def retained_timestamps(issues: DataFrame, cap: int = MAX_GROUP_TIMESTAMPS) -> DataFrame:
-    """The timestamps a group keeps: its first ``cap`` by arrival."""
-    return first_by(issues.select(*GROUP, "seq", "ts_ns"), GROUP, "seq", cap)
+def retained_timestamps(
+    issues: DataFrame, groups: DataFrame, cap: int = MAX_GROUP_TIMESTAMPS
+) -> DataFrame:
+    """The timestamps a group keeps: its first ``cap`` by arrival.
+
+    ``groups`` is the table of :func:`log_issue_groups`. Only groups above the cap are
+    ranked; usually there are none, and then the rows pass without a shuffle.
+    """
+    rows = issues.select(*GROUP, "seq", "ts_ns")
+    above = groups.where(F.col("n") > cap).select(*GROUP, F.lit(True).alias("_above"))
+    if above.isEmpty():
+        return rows
+    marked = join_small(rows, above, list(GROUP), "left")
+    within = marked.where(F.col("_above").isNull()).drop("_above")
+    return within.unionByName(first_by(marked.where("_above").drop("_above"), GROUP, "seq", cap))
 
 
 def issue_group_lookup(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -78,8 +90,13 @@ def issue_group_lookup(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, list(GROUP), "left")
 
 
-def event_histogram(rows: DataFrame, keys: Sequence[str], n: int, ts: str = "ts_ns") -> DataFrame:
-    """``n`` equal bins between each group's first and last timestamp, empty ones too."""
+def event_histogram(
+    rows: DataFrame, keys: Sequence[str], n: int, ts: str = "ts_ns", sized_by: DataFrame | None = None
+) -> DataFrame:
+    """``n`` equal bins between each group's first and last timestamp, empty ones too.
+
+    ``sized_by`` is a stored table with a row per group, if there is one.
+    """
     keys = list(keys)
     n = max(n, 1)
     span = rows.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
@@ -87,7 +104,7 @@ def event_histogram(rows: DataFrame, keys: Sequence[str], n: int, ts: str = "ts_
         F.col("_hi") - F.col("_lo"), F.lit(1).cast("bigint")
     ).cast("double")
     counts = (
-        join_small(rows, span, keys)
+        join_small(rows, span, keys, sized_by=sized_by)
         .select(*keys, F.least((share * F.lit(float(n))).cast("bigint"), F.lit(n - 1)).alias("bin"))
         .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -20,14 +20,17 @@ def join_small(
     keys: list[str],
     how: str = "inner",
     max_rows: int = BROADCAST_MAX_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` (left) with a per-key table that is usually small.
 
     Up to ``max_rows`` rows the small side is broadcast and ``big`` is not shuffled.
     Beyond that both sides are shuffled on the keys plus a salt, so that a key holding
     a large share of ``big`` is spread over many tasks. ``how`` is inner or left.
+    ``sized_by`` is a table with at least as many rows as ``small`` that is cheaper to
+    count (a stored one), so that checking the size does not compute ``small`` twice.
     """
-    if fits_broadcast(small, max_rows):
+    if fits_broadcast(small if sized_by is None else sized_by, max_rows):
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))

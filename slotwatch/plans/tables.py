@@ -194,11 +194,11 @@ class LogTables:
         return self.issue_groups
 
     def issue_histogram(self, bins: int, cap: int = issues.MAX_GROUP_TIMESTAMPS) -> DataFrame:
-        kept = issues.retained_timestamps(self.issue_events(), cap)
-        return issues.event_histogram(kept, issues.GROUP, bins)
+        kept = issues.retained_timestamps(self.issue_events(), self.issue_groups, cap)
+        return issues.event_histogram(kept, issues.GROUP, bins, sized_by=self.issue_groups)
 
     def leader_window_histogram(self, bins: int) -> DataFrame:
-        return issues.event_histogram(A.leader_windows(self.events), ["log_id"], bins)
+        return issues.event_histogram(A.leader_windows(self.events), ["log_id"], bins, sized_by=self.meta)
 
     def alerts(self) -> DataFrame:
         return self.alert_rows

@@ -75,11 +75,12 @@ def stream_slots(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        parts = fold_slots(slot_input(parse_lines(batch)), keep_seq=True)
+        parts = fold_slots(slot_input(batch), keep_seq=True)
         parts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
-        lines.writeStream.foreachBatch(save)
+        parse_lines(lines)
+        .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
