@@ -1,8 +1,8 @@
 """Exact order statistics without sorting a group in one task.
 
-The reference rank rule is ``sorted[floor((n-1) * p)]``, which no built-in percentile
-follows. Values are first counted per distinct value (combined before the shuffle),
-then per logarithmic range of values. The ranges of a group are few (about a thousand
+The rank rule of every percentile here is ``sorted[floor((n-1) * p)]``, which no
+built-in percentile follows. Values are first counted per distinct value (combined
+before the shuffle), then per logarithmic range of values. The ranges of a group are few (about a thousand
 per power of two), so finding the range that holds a rank is cheap; only the distinct
 values of that one range are then put in order.
 """

@@ -32,6 +32,7 @@ def join_small(
     """
     if fits_broadcast(small if sized_by is None else sized_by, max_rows):
         return big.join(F.broadcast(small), keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    # A hash of the whole row, not a row number: a retried task must salt alike.
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
