@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from slotwatch.llm.chat import OP10_SQL, op10_chat_windows
 from slotwatch.llm.mixing import OP1_SQL, op1_pareto_mix
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op10_chat_windows": op10_chat_windows,
 }
 ORACLE_SQL = {
     "op1_pareto_mix": OP1_SQL,
+    "op10_chat_windows": OP10_SQL,
 }
