@@ -18,7 +18,7 @@ from slotwatch.llm.common import stage, sums_before, table, text_of, word_count
 
 MAX_COPIES = 3
 LENGTH_POWER = 0.5
-BUCKETS = 65_536
+BUCKETS = 8_192
 SALTS = 64
 
 
