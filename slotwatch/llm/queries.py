@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from slotwatch.llm.chat import OP10_SQL, op10_chat_windows
+from slotwatch.llm.decontaminate import op9_decontaminate
 from slotwatch.llm.merkle import op7_merkle
 from slotwatch.llm.mixing import OP1_SQL, op1_pareto_mix
 from slotwatch.llm.pii import op2_pii_spans
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_pii_spans": op2_pii_spans,
     "op7_merkle": op7_merkle,
+    "op9_decontaminate": op9_decontaminate,
     "op10_chat_windows": op10_chat_windows,
 }
 ORACLE_SQL = {
