@@ -6,12 +6,14 @@ from slotwatch.llm.chat import OP10_SQL, op10_chat_windows
 from slotwatch.llm.decontaminate import op9_decontaminate
 from slotwatch.llm.merkle import op7_merkle
 from slotwatch.llm.mixing import OP1_SQL, op1_pareto_mix
+from slotwatch.llm.near_dups import op8_near_dups
 from slotwatch.llm.pii import op2_pii_spans
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_pii_spans": op2_pii_spans,
     "op7_merkle": op7_merkle,
+    "op8_near_dups": op8_near_dups,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_windows": op10_chat_windows,
 }
