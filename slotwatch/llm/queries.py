@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slotwatch.llm.chat import OP10_SQL, op10_chat_windows
 from slotwatch.llm.decontaminate import op9_decontaminate
+from slotwatch.llm.lattice_lm import op5_lattice_lm
 from slotwatch.llm.merkle import op7_merkle
 from slotwatch.llm.mixing import OP1_SQL, op1_pareto_mix
 from slotwatch.llm.near_dups import op8_near_dups
@@ -12,6 +13,7 @@ from slotwatch.llm.pii import op2_pii_spans
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_pii_spans": op2_pii_spans,
+    "op5_lattice_lm": op5_lattice_lm,
     "op7_merkle": op7_merkle,
     "op8_near_dups": op8_near_dups,
     "op9_decontaminate": op9_decontaminate,
