@@ -9,11 +9,13 @@ from slotwatch.llm.merkle import op7_merkle
 from slotwatch.llm.mixing import OP1_SQL, op1_pareto_mix
 from slotwatch.llm.near_dups import op8_near_dups
 from slotwatch.llm.pii import op2_pii_spans
+from slotwatch.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_pii_spans": op2_pii_spans,
     "op5_lattice_lm": op5_lattice_lm,
+    "op6_toxicity": op6_toxicity,
     "op7_merkle": op7_merkle,
     "op8_near_dups": op8_near_dups,
     "op9_decontaminate": op9_decontaminate,
