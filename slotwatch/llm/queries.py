@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slotwatch.llm.chat import OP10_SQL, op10_chat_windows
 from slotwatch.llm.decontaminate import op9_decontaminate
+from slotwatch.llm.html_text import op3_html_text
 from slotwatch.llm.lattice_lm import op5_lattice_lm
 from slotwatch.llm.merkle import op7_merkle
 from slotwatch.llm.mixing import OP1_SQL, op1_pareto_mix
@@ -14,6 +15,7 @@ from slotwatch.llm.toxicity import op6_toxicity
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_pii_spans": op2_pii_spans,
+    "op3_html_text": op3_html_text,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_toxicity": op6_toxicity,
     "op7_merkle": op7_merkle,

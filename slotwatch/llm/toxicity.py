@@ -24,9 +24,9 @@ from slotwatch.llm.common import stage, table, text_of
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 12
 DIM, HIDDEN = 12, 16
-TRAIN_ROWS = 1000
+TRAIN_ROWS = 1200
 TRAIN_CHARS = 20_000
-EPOCHS, STEPS = 5, 240  # at least so many passes and so many steps
+EPOCHS, STEPS = 8, 240  # at least so many passes and so many steps
 BATCH = 2048  # windows that go through the network together
 
 
@@ -211,7 +211,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int | None = None, seed
     # Texts of like length together; the order of the groups changes each epoch.
     order = np.argsort([len(t) for t in texts], kind="stable")
     groups = [order[i : i + 48] for i in range(0, len(order), 48)]
-    epochs = epochs or max(EPOCHS, min(8 * EPOCHS, -(-STEPS // len(groups))))
+    epochs = epochs or max(EPOCHS, min(5 * EPOCHS, -(-STEPS // len(groups))))
     made = [Inputs.of([texts[i] for i in g]) for g in groups]
     for epoch in range(epochs):
         for k in rng.permutation(len(groups)):
