@@ -11,11 +11,13 @@ from slotwatch.llm.mixing import OP1_SQL, op1_pareto_mix
 from slotwatch.llm.near_dups import op8_near_dups
 from slotwatch.llm.pii import op2_pii_spans
 from slotwatch.llm.toxicity import op6_toxicity
+from slotwatch.llm.warc import OP4_SQL, op4_warc_index
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_pii_spans": op2_pii_spans,
     "op3_html_text": op3_html_text,
+    "op4_warc_index": op4_warc_index,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_toxicity": op6_toxicity,
     "op7_merkle": op7_merkle,
@@ -25,5 +27,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_pareto_mix": OP1_SQL,
+    "op4_warc_index": OP4_SQL,
     "op10_chat_windows": OP10_SQL,
 }
