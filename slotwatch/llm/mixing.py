@@ -206,14 +206,17 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the documents taken, each as often as it is taken."""
-    taken = mix(docs, **options).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies"
-    ).distinct()
-    joined = docs.join(
-        taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(text_of()) == F.col("_size"))
+    """The mix itself: the rows of ``docs`` that are taken, and how often (``mix_copies``)."""
+    taken = (
+        mix(docs, **options)
+        .where("copies > 0")
+        .select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("mix_copies"))
+        .groupBy("_id", "_size")
+        .agg(F.max("mix_copies").alias("mix_copies"))
     )
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_id", "_size", "copies", "copy")
+    sized = docs.withColumn("_words", word_count(text_of()))
+    joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return joined.select(*[sized[c] for c in docs.columns], "mix_copies")
 
 
 def op1_pareto_mix(spark, sf_dir: str) -> DataFrame:
