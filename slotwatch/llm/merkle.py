@@ -88,6 +88,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     placed = stage(sums_before(narrow, order, {}, "merkle-order"), "merkle-placed")
     size = placed.agg(F.count(F.lit(1)).alias("n"), F.max("copies").alias("copies")).first()
     a = placed.select(
+        "doc_id",
         F.col("k").alias("for_k"),
         F.col("h").alias("for_h"),
         (F.col("n_chars") / 2).cast("bigint").alias("want"),
@@ -95,17 +96,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     links = stage(a.join(placed.select("pos", "k", "h"), "pos").drop("pos"), "merkle-links")
     # Repeated rows, where there are any, must send only once.
-    senders = rows if (size["copies"] or 0) <= 1 else rows.dropDuplicates(["k", "h"])
-    sent = senders.select("k", "h", "text").join(links, ["k", "h"])
+    texts = rows.select("k", "h", "text")
+    senders = texts if (size["copies"] or 0) <= 1 else texts.dropDuplicates(["k", "h"])
+    sent = senders.join(links, ["k", "h"])
     t = tree(F.col("text"))
     sent = sent.select(
         F.col("for_k").alias("k"),
         F.col("for_h").alias("h"),
+        "doc_id",
         F.substr("text", F.lit(1), F.col("want").cast("int")).alias("next_start"),
         root(t).alias("next_root"),
         leaf_set(t).alias("next_leaves"),
     )
-    return rows.join(sent, ["k", "h"])
+    # Both joins take the same columns of the texts, so that one shuffle of them serves both.
+    return texts.join(sent, ["k", "h"]).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op7_merkle(spark, sf_dir: str) -> DataFrame:
