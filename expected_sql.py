@@ -465,20 +465,22 @@ raw_verdicts AS (
   UNION ALL SELECT log_id, 'refresh_votes', refreshing_votes::DOUBLE, FALSE FROM flow
   UNION ALL SELECT log_id, 'true_fallback_pct', {_pct("true_fb", "block_notar_fallback")}, FALSE FROM flow
   UNION ALL SELECT log_id, 'finalized_pct', {_pct("finalized_slots", "distinct_slots")}, FALSE FROM flow
-  UNION ALL SELECT log_id, 'vote_skip_pct', {_pct("skipped_slots", "distinct_slots")}, FALSE FROM flow
+  UNION ALL SELECT log_id, 'vote_skip_events_pct', {_pct("votes_skip", "distinct_slots")}, FALSE FROM flow
+  UNION ALL SELECT log_id, 'vote_skip_slots_pct', {_pct("skipped_slots", "distinct_slots")}, FALSE FROM flow
   UNION ALL SELECT log_id, 'canonical_skip_slots_pct', {_pct("canonical", "skipped_slots")}, indeterminate > 0 FROM flow
   UNION ALL SELECT log_id, 'lifecycle_p95_ms', (lifecycle_p95_us // 1000)::DOUBLE, FALSE FROM flow
   UNION ALL SELECT log_id, 'lifecycle_max_ms', (lifecycle_max_us // 1000)::DOUBLE, FALSE FROM flow),
 verdicts AS (
   SELECT log_id, metric, value,
          CASE metric
-           WHEN 'fast_finalize_pct' THEN CASE WHEN value >= 80 THEN 'healthy' WHEN value >= 60 THEN 'DEGRADED' ELSE 'CRITICAL' END
-           WHEN 'canonical_skip_pct' THEN CASE WHEN value < 0.5 THEN 'healthy' WHEN value < 2 THEN 'DEGRADED' ELSE 'CRITICAL' END
-           WHEN 'standstills' THEN CASE WHEN value = 0 THEN 'no liveness issues' ELSE 'STANDSTILL OBSERVED' END
-           WHEN 'refresh_votes' THEN CASE WHEN value = 0 THEN 'no standstill recoveries' ELSE 'resume activity' END
-           WHEN 'true_fallback_pct' THEN CASE WHEN value < 0.5 THEN 'rare/healthy' ELSE 'elevated' END
+           WHEN 'fast_finalize_pct' THEN CASE WHEN value >= 80 THEN 'ok' WHEN value >= 60 THEN 'degraded' ELSE 'critical' END
+           WHEN 'canonical_skip_pct' THEN CASE WHEN value < 0.5 THEN 'ok' WHEN value < 2 THEN 'degraded' ELSE 'critical' END
+           WHEN 'standstills' THEN CASE WHEN value = 0 THEN 'none' ELSE 'seen' END
+           WHEN 'refresh_votes' THEN CASE WHEN value = 0 THEN 'none' ELSE 'seen' END
+           WHEN 'true_fallback_pct' THEN CASE WHEN value < 0.5 THEN 'rare' ELSE 'elevated' END
            WHEN 'finalized_pct' THEN CASE WHEN value >= 90 THEN 'good' WHEN value >= 80 THEN 'warn' ELSE 'bad' END
-           WHEN 'vote_skip_pct' THEN CASE WHEN value < 5 THEN 'good' WHEN value < 15 THEN 'warn' ELSE 'bad' END
+           WHEN 'vote_skip_events_pct' THEN CASE WHEN value < 5 THEN 'good' WHEN value < 15 THEN 'warn' ELSE 'bad' END
+           WHEN 'vote_skip_slots_pct' THEN CASE WHEN value < 5 THEN 'good' WHEN value < 15 THEN 'warn' ELSE 'bad' END
            WHEN 'canonical_skip_slots_pct' THEN CASE WHEN value < 0.5 THEN 'good' WHEN value < 2 THEN 'warn' ELSE 'bad' END
            WHEN 'lifecycle_p95_ms' THEN CASE WHEN value <= 600 THEN 'good' ELSE 'warn' END
            ELSE CASE WHEN value >= 1000 THEN 'bad' ELSE 'warn' END END AS verdict,
@@ -551,6 +553,9 @@ def _report() -> str:
             ("ingested", _commas("ingested")), ("ignored", _commas("n_ignored")), ("continuations", _commas("n_cont")),
             ("parse_errors", _commas("n_bad"))]),
         f"SELECT log_id, 'health', metric, (CASE WHEN is_lower_bound THEN '>=' ELSE '' END) || {_fixed('value', 2)}, verdict FROM verdicts",
+        rows("health", "flow", [
+            ("vote_skips", _commas("votes_skip")), ("canonical_skips", _commas("canonical")),
+            ("indeterminate_skips", _commas("indeterminate")), ("total_slots", _commas("distinct_slots"))]),
         rows("health", "facts", [
             ("crashed_leaders", _commas("tcl_outside_standstill")), ("crashed_leaders_raw", _commas("timeout_crashed_leaders")),
             ("fragmentation", _commas("safe_to_notar + safe_to_skip")),
@@ -630,7 +635,8 @@ def statements() -> dict[str, str]:
         "slot_filter_vskip_or_cskip": view + "SELECT * FROM vw WHERE status_label IN ('VSKIP', 'CSKIP')",
         "slot_filter_leader_fast": view + "SELECT * FROM vw WHERE we_are_leader AND status = 'fast'",
         "slot_filter_tcl_vskip": view + "SELECT * FROM vw WHERE crashed_leader AND status_label = 'VSKIP'",
-        "slot_page": view + "SELECT * FROM vw ORDER BY log_id, slot LIMIT 50 OFFSET 100",
+        "slot_page": view + "SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY slot) AS place FROM vw QUALIFY place BETWEEN 101 AND 150",
+        "incident_page": every + "SELECT log_id, tcl_slot, resume_slot, resume_us, slot_gap, severity, row_number() OVER (PARTITION BY log_id ORDER BY resume_us DESC, tcl_slot) AS place FROM resumes QUALIFY place BETWEEN 3 AND 12",
         "standstill_ranges": every + "SELECT log_id, entry_slot, exit_slot, seq FROM ranges",
         "standstill_alerts": every + "SELECT log_id, slot, firings, first_ns, last_ns FROM firings",
         "tcl_outside_standstill": every + "SELECT * FROM tcl",
@@ -642,7 +648,7 @@ def statements() -> dict[str, str]:
         "resume_percentiles": _with(*_ALL, _TOP_LIFE) + f"SELECT log_id, n, {_percentiles()} FROM resume_life",
         "resume_severity": every + "SELECT log_id, count(*) FILTER (severity = 'normal') AS normal, count(*) FILTER (severity = 'elevated') AS elevated, count(*) FILTER (severity = 'severe') AS severe, count(*) AS total FROM resumes GROUP BY log_id",
         "resume_distribution": every + f"SELECT l.log_id, v.bin::BIGINT AS bin, v.label, count(r.resume_us) AS n, round(count(r.resume_us) * 100.0::DOUBLE / (SELECT count(*) FROM resumes x WHERE x.log_id = l.log_id), 6) AS pct FROM (SELECT DISTINCT log_id FROM resumes) l CROSS JOIN {bins} LEFT JOIN resumes r ON r.log_id = l.log_id AND r.resume_us >= v.lo AND r.resume_us < v.hi GROUP BY l.log_id, v.bin, v.label",
-        "incidents": every + "SELECT log_id, tcl_slot, resume_slot, resume_us, slot_gap, severity FROM resumes",
+        "incidents": every + "SELECT log_id, tcl_slot, resume_slot, resume_us, slot_gap, severity, row_number() OVER (PARTITION BY log_id ORDER BY resume_us DESC, tcl_slot) AS place FROM resumes",
         "top_resumes": _with(*_ALL, _TOP_LIFE) + "SELECT * FROM top_res",
         "voting_gaps": every + "SELECT * FROM gaps WHERE gap_slots >= 2",
         "voting_gaps_all": every + "SELECT * FROM gaps",
@@ -678,7 +684,7 @@ def statements() -> dict[str, str]:
             FROM wins w LEFT JOIN wslots USING (log_id, label) LEFT JOIN wdur USING (log_id, label) LEFT JOIN wres USING (log_id, label)""",
         "slot_durations": _with(*_ALL, _WINDOWS) + "SELECT log_id, slot, duration_us FROM durations",
         "log_issue_groups": every + "SELECT * FROM groups",
-        "log_pattern_order": every + "SELECT log_id, severity, module, n, first_ns FROM groups",
+        "log_pattern_order": every + "SELECT log_id, severity, module, n, first_ns, row_number() OVER (PARTITION BY log_id ORDER BY CASE severity WHEN 'Critical' THEN 2 WHEN 'Warn' THEN 1 ELSE 0 END DESC, n DESC, module, first_ns) AS place FROM groups",
         "issue_histogram": every + _histogram("issue_ev", "log_id, severity, module", 24),
         "issue_histogram_capped": every + ", kept AS (SELECT * FROM issue_ev QUALIFY row_number() OVER (PARTITION BY log_id, severity, module ORDER BY seq) <= 40)" + _histogram("kept", "log_id, severity, module", 24),
         "leader_window_histogram": every + _histogram("win_ok", "log_id", 24),
@@ -712,6 +718,9 @@ def statements() -> dict[str, str]:
         "fin_pcts": flow + f"SELECT log_id, {_pct('finalized_slots', 'distinct_slots')} AS finalized_pct, {_pct('skipped_slots', 'distinct_slots')} AS skipped_pct, {_pct('votes_skip', 'distinct_slots')} AS vote_skip_events_pct, {_pct('canonical', 'skipped_slots')} AS canonical_pct_slots, {_pct('canonical', 'votes_skip')} AS canonical_pct_events FROM flow",
         "health_verdicts": _with(*_ALL, _FLOW, _VERDICTS) + "SELECT log_id, metric, value, verdict, is_lower_bound FROM verdicts",
         "summary_report": _report(),
+        "text_source_events": ev + f"SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY seq) AS place, ts_ns, kind, {payload} FROM ev",
+        "stream_files": ev + f"SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY seq) AS place, ts_ns, kind, {payload} FROM ev",
+        "log_files": ev + "SELECT log_id, 3::BIGINT AS n_files, n_events + n_issues + n_cont + n_bad + n_ignored AS line_count FROM line_counts",
         "stream_parse": ev + "SELECT * FROM (SELECT log_id, unnest(['event', 'issue', 'continuation', 'parse_error', 'ignored']) AS outcome, unnest([n_events, n_issues, n_cont, n_bad, n_ignored]) AS n FROM line_counts) WHERE n > 0",
         "stream_counters": ev + "SELECT log_id, kind, ts_ns // 1000000000 // 600 * 600 AS start_secs, count(*) AS n FROM ev GROUP BY ALL",
         "stream_slots": every + f"SELECT {_SLOT_COLS.replace(', skip_classification', '')} FROM slots",

@@ -44,6 +44,13 @@ def issue_body(col: Column) -> Column:
     return sanitise_body(truncate_utf8(col, ISSUE_BODY_MAX_BYTES))
 
 
+def saturating_sum(col: Column) -> Column:
+    """Sum of BIGINTs that stops at the largest one instead of failing; an aggregate."""
+    top = F.lit(2**63 - 1).cast("decimal(20,0)")
+    total = F.sum(col.cast("decimal(20,0)"))
+    return F.when(total > top, top).otherwise(total).cast("bigint")
+
+
 def valid_base58(col: Column) -> Column:
     return col.rlike(rf"^{HASH}\z")
 
@@ -71,7 +78,8 @@ def parse_ts_ns(col: Column) -> Column:
     )
     fraction = F.when(F.substring(col, 20, 1) == ".", F.rpad(digits, 9, "0").cast("bigint")).otherwise(0)
     seconds = F.unix_seconds(F.try_to_timestamp(moment))
-    return F.when(col.rlike(shape), seconds * F.lit(1_000_000_000) + fraction)
+    # Years outside 1677 to 2262 do not fit BIGINT nanoseconds: malformed, not an error.
+    return F.when(col.rlike(shape), F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000).cast("bigint")), fraction))
 
 
 def commas(col: Column) -> Column:
@@ -89,69 +97,57 @@ def fixed(col: Column, digits: int) -> Column:
     return F.round(exact, digits).cast(f"decimal(38,{digits})").cast("string")
 
 
-def _n(col: Column) -> Column:
-    return col.cast("string")
+_UNITS = (("h", 3600), ("m", 60), ("s", 1))
 
 
-def _hms(secs: Column) -> tuple[Column, Column, Column]:
-    return (
-        F.floor(secs / 3600).cast("bigint"),
-        F.floor((secs % 3600) / 60).cast("bigint"),
-        (secs % 60).cast("bigint"),
-    )
+def _spelled(secs: Column, first: Column | int, last: Column | int) -> Column:
+    """Hours, minutes and seconds from place ``first`` to place ``last`` of ``_UNITS``."""
+    first, last = (F.lit(x) if isinstance(x, int) else x for x in (first, last))
+    shown, above = [], None
+    for unit, size in _UNITS:
+        rest = secs if above is None else secs % above
+        shown.append(F.concat(F.floor(rest / size).cast("string"), F.lit(unit)))
+        above = size
+    spelled = F.array_join(F.slice(F.array(*shown), first + 1, last - first + 1), " ")
+    return F.when(secs.isNotNull(), spelled)
+
+
+def _largest(secs: Column) -> Column:
+    """Place of the largest unit that is not zero (seconds for zero)."""
+    return F.when(secs >= 3600, 0).when(secs >= 60, 1).otherwise(2)
+
+
+def _smallest(secs: Column) -> Column:
+    """Place of the smallest unit that is not zero (seconds for zero)."""
+    return F.when((secs % 60 != 0) | (secs == 0), 2).when(secs % 3600 != 0, 1).otherwise(0)
 
 
 def humanize_full(secs: Column) -> Column:
     """``1h 2m 3s``, ``2m 3s`` or ``3s``."""
-    h, m, s = _hms(secs)
-    return (
-        F.when(h > 0, F.concat(_n(h), F.lit("h "), _n(m), F.lit("m "), _n(s), F.lit("s")))
-        .when(m > 0, F.concat(_n(m), F.lit("m "), _n(s), F.lit("s")))
-        .otherwise(F.concat(_n(s), F.lit("s")))
-    )
+    return _spelled(secs, _largest(secs), 2)
 
 
 def humanize_header(secs: Column) -> Column:
     """Like :func:`humanize_full`, with zero units at the end left out."""
-    h, m, s = _hms(secs)
-    hours = F.concat(_n(h), F.lit("h"))
-    minutes = F.concat(_n(m), F.lit("m"))
-    seconds = F.concat(_n(s), F.lit("s"))
-    return (
-        F.when((h == 0) & (m == 0), seconds)
-        .when((h == 0) & (s == 0), minutes)
-        .when(h == 0, F.concat_ws(" ", minutes, seconds))
-        .when((m == 0) & (s == 0), hours)
-        .when(s == 0, F.concat_ws(" ", hours, minutes))
-        .otherwise(F.concat_ws(" ", hours, minutes, seconds))
-    )
+    return _spelled(secs, _largest(secs), _smallest(secs))
 
 
 def humanize_hm(secs: Column) -> Column:
     """``1h 2m``, always both units."""
-    h, m, _ = _hms(secs)
-    return F.concat(_n(h), F.lit("h "), _n(m), F.lit("m"))
+    return _spelled(secs, 0, 1)
 
 
 def humanize_coarse(secs: Column) -> Column:
     """Only the largest unit: ``1h``, ``2m`` or ``3s``."""
-    h, _, _ = _hms(secs)
-    return (
-        F.when(secs >= 3600, F.concat(_n(h), F.lit("h")))
-        .when(secs >= 60, F.concat(_n(F.floor(secs / 60).cast("bigint")), F.lit("m")))
-        .otherwise(F.concat(_n(secs.cast("bigint")), F.lit("s")))
-    )
+    return _spelled(secs, _largest(secs), _largest(secs))
 
 
 def humanize_bucket(secs: Column) -> Column:
     """Bucket-width label: ``1h``, ``1h 30m``, ``10m`` or ``90s``."""
-    h, m, _ = _hms(secs)
-    return (
-        F.when((secs >= 3600) & (secs % 3600 == 0), F.concat(_n(h), F.lit("h")))
-        .when(secs >= 3600, F.concat(_n(h), F.lit("h "), _n(m), F.lit("m")))
-        .when((secs >= 60) & (secs % 60 == 0), F.concat(_n(m), F.lit("m")))
-        .otherwise(F.concat(_n(secs.cast("bigint")), F.lit("s")))
-    )
+    long = _spelled(secs, 0, F.when(secs % 3600 == 0, 0).otherwise(1))
+    odd = (secs < 60) | (secs % 60 != 0)
+    short = F.when(odd, F.concat(secs.cast("bigint").cast("string"), F.lit("s"))).otherwise(_spelled(secs, 1, 1))
+    return F.when(secs >= 3600, long).otherwise(short)
 
 
 _UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600}

@@ -173,9 +173,13 @@ def order_alerts(union: DataFrame) -> DataFrame:
 
 
 def order_log_patterns(groups: DataFrame) -> DataFrame:
-    """Groups in report order: severity and count down, then module and time."""
-    return groups.orderBy(
-        "log_id", severity_rank(F.col("severity")).desc(), F.col("n").desc(), "module", "first_ns"
+    """Groups with their ``place``: severity and count down, then module and time."""
+    return rank_within(
+        groups,
+        ["log_id"],
+        [[-severity_rank(F.col("severity")), -F.col("n")]],
+        [F.col("module"), F.col("first_ns")],
+        "place",
     )
 
 

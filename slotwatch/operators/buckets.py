@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwatch.functions.classify import anchor_ns, delta_us, div, is_canonical_skip
-from slotwatch.functions.text import DEFAULT_BUCKET_SECS
+from slotwatch.functions.text import DEFAULT_BUCKET_SECS, saturating_sum
 from slotwatch.operators.ranks import exact_ranks, rank_floor, rank_tenth
 from slotwatch.operators.sizing import join_small
 
 SECOND_NS = 1_000_000_000
+SPINE_BLOCK = 65_536
 
 
 def _width(bucket_secs: int) -> Column:
@@ -32,12 +33,16 @@ def bucket_index(ts: Column, bucket_secs: int) -> Column:
 
 def bucket_spine(meta: DataFrame, bucket_secs: int) -> DataFrame:
     """Every bucket of every log: ``[log_id, bucket, start_ns]``."""
+    # Blocks first, then each block's buckets: no array is longer than a block, and the
+    # blocks of one long log can be spread over tasks.
+    block, last = F.lit(SPINE_BLOCK).cast("bigint"), bucket_count(bucket_secs) - 1
+    blocks = meta.where(F.col("lo_ns").isNotNull()).select(
+        "log_id", "lo_ns", last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("bigint"), div(last, block))).alias("_block")
+    )
+    first = F.col("_block") * block
     return (
-        meta.where(F.col("lo_ns").isNotNull())
-        .select(
-            "log_id",
-            "lo_ns",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), bucket_count(bucket_secs) - 1)).alias("bucket"),
+        blocks.select(
+            "log_id", "lo_ns", F.explode(F.sequence(first, F.least(first + block - 1, F.col("_last")))).alias("bucket")
         )
         .select(
             "log_id", "bucket", (F.col("lo_ns") + F.col("bucket") * _width(bucket_secs) * SECOND_NS).alias("start_ns")
@@ -100,7 +105,7 @@ def time_buckets(
         F.count_if(F.col("safe_to_notar_ns").isNotNull()).alias("safe_to_notar"),
         F.count_if(F.col("safe_to_skip_ns").isNotNull()).alias("safe_to_skip"),
         F.count_if(F.col("we_are_leader")).alias("our_leader_slots"),
-        F.sum("signature_count").alias("signature_sum"),
+        saturating_sum(F.col("signature_count")).alias("signature_sum"),
         F.count("signature_count").alias("signature_sample_count"),
     )
     ranks = exact_ranks(
@@ -181,10 +186,10 @@ def series_stats(long: DataFrame) -> DataFrame:
     v = F.col("value")
     n = F.count(F.lit(1))
     return long.groupBy("log_id", "series").agg(
-        F.sum(v).alias("total"),
+        saturating_sum(v).alias("total"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
-        div(F.sum(v), n).alias("mean_value"),
+        div(saturating_sum(v), n).alias("mean_value"),
         F.count_if(v > 0).alias("active"),
         n.alias("n_buckets"),
     )
@@ -227,7 +232,7 @@ def trend_stats(buckets: DataFrame) -> DataFrame:
 
 def tx_per_block(buckets: DataFrame) -> DataFrame:
     sums = buckets.groupBy("log_id").agg(
-        F.sum("signature_sum").alias("signature_sum"), F.sum("signature_sample_count").alias("blocks")
+        saturating_sum(F.col("signature_sum")).alias("signature_sum"), F.sum("signature_sample_count").alias("blocks")
     )
     return sums.withColumn(
         "avg_tx_per_block",

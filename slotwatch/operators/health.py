@@ -168,6 +168,7 @@ def health_verdicts(facts: DataFrame) -> DataFrame:
     canon_slots = pct(_canonical(), c("skipped_slots"))
     fin = pct(c("finalized_slots"), c("distinct_slots"))
     skip = pct(c("skipped_slots"), c("distinct_slots"))
+    skip_events = pct(c("votes_skip"), c("distinct_slots"))
     true_fb = pct(_true_fallbacks(), c("block_notar_fallback"))
     p95_ms = div(c("lifecycle_p95_us"), 1000)
     max_ms = div(c("lifecycle_max_us"), 1000)
@@ -176,38 +177,44 @@ def health_verdicts(facts: DataFrame) -> DataFrame:
         (
             "fast_finalize_pct",
             fast,
-            F.when(fast >= C.FAST_FIN_GOOD_PCT, "healthy").when(fast >= C.FAST_FIN_WARN_PCT, "DEGRADED").otherwise("CRITICAL"),
+            F.when(fast >= C.FAST_FIN_GOOD_PCT, "ok").when(fast >= C.FAST_FIN_WARN_PCT, "degraded").otherwise("critical"),
             F.lit(False),
         ),
         (
             "canonical_skip_pct",
             canon_events,
-            F.when(canon_events < C.CANONICAL_SKIP_WARN_PCT, "healthy")
-            .when(canon_events < C.CANONICAL_SKIP_BAD_PCT, "DEGRADED")
-            .otherwise("CRITICAL"),
+            F.when(canon_events < C.CANONICAL_SKIP_WARN_PCT, "ok")
+            .when(canon_events < C.CANONICAL_SKIP_BAD_PCT, "degraded")
+            .otherwise("critical"),
             undecided,
         ),
         (
             "standstills",
             c("standstill_events"),
-            F.when(c("standstill_events") == 0, "no liveness issues").otherwise("STANDSTILL OBSERVED"),
+            F.when(c("standstill_events") == 0, "none").otherwise("seen"),
             F.lit(False),
         ),
         (
             "refresh_votes",
             c("refreshing_votes"),
-            F.when(c("refreshing_votes") == 0, "no standstill recoveries").otherwise("resume activity"),
+            F.when(c("refreshing_votes") == 0, "none").otherwise("seen"),
             F.lit(False),
         ),
         (
             "true_fallback_pct",
             true_fb,
-            F.when(true_fb < C.TRUE_FB_ELEVATED_PCT, "rare/healthy").otherwise("elevated"),
+            F.when(true_fb < C.TRUE_FB_ELEVATED_PCT, "rare").otherwise("elevated"),
             F.lit(False),
         ),
         ("finalized_pct", fin, C.band_higher_better(fin, C.FIN_GOOD_PCT, C.FIN_WARN_PCT), F.lit(False)),
         (
-            "vote_skip_pct",
+            "vote_skip_events_pct",
+            skip_events,
+            C.band_lower_better(skip_events, C.VOTE_SKIP_WARN_PCT, C.VOTE_SKIP_BAD_PCT),
+            F.lit(False),
+        ),
+        (
+            "vote_skip_slots_pct",
             skip,
             C.band_lower_better(skip, C.VOTE_SKIP_WARN_PCT, C.VOTE_SKIP_BAD_PCT),
             F.lit(False),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotwatch.functions.text import issue_body
 from slotwatch.operators.ordered import first_by
 from slotwatch.operators.parse import CLUSTER_SLOTS_MODULE
 from slotwatch.operators.sizing import join_small
@@ -40,7 +41,7 @@ def issue_events(parsed: DataFrame) -> DataFrame:
         F.when(kind == "NoEpochMetadata", F.format_string(NO_EPOCH_METADATA, "epoch"))
         .when(kind == "NoEpochInfoForSlot", F.format_string(NO_EPOCH_INFO, "slot"))
         .when(structured, INVALID_UPDATE)
-        .otherwise(F.col("body"))
+        .otherwise(issue_body(F.col("body")))
     )
     return parsed.where((F.col("outcome") == "issue") | structured).select(
         "log_id",
@@ -55,17 +56,21 @@ def issue_events(parsed: DataFrame) -> DataFrame:
 def log_issue_groups(issues: DataFrame, cap: int = MAX_GROUP_TIMESTAMPS) -> DataFrame:
     """One row per (log, severity, module); first, last and sample by arrival.
 
-    All aggregates combine before the shuffle, so a module with most of the lines
-    sends one row per task.
+    All aggregates are over numbers, so they hash and combine before the shuffle, and a
+    module with most of the lines sends one row per task. The sample is then looked up
+    by its arrival position.
     """
     n = F.count(F.lit(1))
-    return issues.groupBy(*GROUP).agg(
+    groups = issues.groupBy(*GROUP).agg(
         n.alias("n"),
         F.min_by("ts_ns", "seq").alias("first_ns"),
         F.max_by("ts_ns", "seq").alias("last_ns"),
-        F.min_by("body", "seq").alias("sample_body"),
+        F.min("seq").alias("seq"),
         F.greatest(n - F.lit(cap), F.lit(0).cast("bigint")).alias("timestamps_dropped"),
     )
+    bodies = issues.select(*GROUP, "seq", F.col("body").alias("sample_body"))
+    found = join_small(bodies, groups, [*GROUP, "seq"])
+    return found.select(*GROUP, "n", "first_ns", "last_ns", "sample_body", "timestamps_dropped")
 
 
 def retained_timestamps(

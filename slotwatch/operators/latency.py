@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwatch.functions.classify import anchor_ns, delta_us, pct, resume_severity
-from slotwatch.operators.ordered import neighbour
+from slotwatch.operators.ordered import neighbour, rank_within
 from slotwatch.operators.ranks import PCTS, exact_ranks
 
 STAGES = {
@@ -130,10 +130,10 @@ def resume_distribution(resumes: DataFrame) -> DataFrame:
 
 
 def incidents(resumes: DataFrame) -> DataFrame:
-    """All resumes, longest first."""
-    return resumes.select(
-        "log_id", "tcl_slot", "resume_slot", "resume_us", "slot_gap", "severity"
-    ).orderBy("log_id", F.col("resume_us").desc(), "tcl_slot")
+    """All resumes with their ``place``: longest first, then by slot."""
+    rows = resumes.select("log_id", "tcl_slot", "resume_slot", "resume_us", "slot_gap", "severity")
+    down = -F.col("resume_us")
+    return rank_within(rows, ["log_id"], [[F.shiftright(down, 20)], [down, F.shiftright("tcl_slot", 16)]], [F.col("tcl_slot")], "place")
 
 
 def top_resumes(resumes: DataFrame, k: int = 5) -> DataFrame:

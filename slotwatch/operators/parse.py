@@ -304,7 +304,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         of_event(F.col("extra") == "true", *_kinds_with("fast")).alias("fast"),
         of_event(F.col("first"), *_kinds_with("epoch")).alias("epoch"),
         of_event(F.col("extra_n"), *_kinds_with("n")).alias("n"),
-        F.when(~event, issue_body(F.col("body"))).alias("body"),
+        # Whole: what is shown of it is cut and cleaned where it is shown.
+        F.when(~event, F.col("body")).alias("body"),
     )
     # The one-row generator keeps a caller's filter above the parse. Without it the
     # optimizer rewrites a test such as outcome = 'event' into the raw line, through

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwatch.functions import classify as C
+from slotwatch.operators.ordered import rank_within
 
 
 def _band(start: str, end: str, warn: float, bad: float) -> Column:
@@ -77,9 +78,15 @@ def filter_slots(
     return view
 
 
-def page(df: DataFrame, offset: int, limit: int, *order: str | Column) -> DataFrame:
-    """The visible slice of a list in the given order."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+def page_at(placed: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Rows at places ``offset`` + 1 to ``offset`` + ``limit`` of each log."""
+    return placed.where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+
+
+def page(df: DataFrame, offset: int, limit: int, levels: list[list[Column]], leaf: list[Column]) -> DataFrame:
+    """The visible slice of each log's list. Places are counted range by range, so a deep
+    page skips nothing through one task (see :func:`rank_within`)."""
+    return page_at(rank_within(df, ["log_id"], levels, leaf, "place"), offset, limit)
 
 
 def slot_durations(slots: DataFrame) -> DataFrame:

@@ -46,6 +46,16 @@ def summary_report(t) -> DataFrame:
         F.concat(F.when(c("is_lower_bound"), ">=").otherwise(""), fixed(c("value"), 2)).alias("value"),
         "verdict",
     )
+    skips = _rows(
+        facts,
+        "health",
+        [
+            ("vote_skips", commas(c("votes_skip"))),
+            ("canonical_skips", commas(c("canonical_direct") + c("canonical_ancestry"))),
+            ("indeterminate_skips", commas(c("indeterminate"))),
+            ("total_slots", commas(c("distinct_slots"))),
+        ],
+    )
     crashed = _rows(
         t.crashed_leader_pct(),
         "health",
@@ -172,7 +182,10 @@ def summary_report(t) -> DataFrame:
         c("alert_rank").cast("string").alias("metric"),
         F.concat(tag, c("description")).alias("value"),
     )
-    plain = [header, crashed, rate, leadership, lifecycle, resume, gaps, slowest, longest, widest, flow, blocks, cluster, alerts]
+    plain = [header, skips, crashed, rate, leadership, lifecycle, resume, gaps, slowest, longest, widest, flow, blocks, cluster, alerts]
+    if {"file_path", "file_size"} <= set(t.lines.columns):
+        files = [("path", c("path")), ("n_files", commas(c("n_files"))), ("size_bytes", commas(c("size_bytes")))]
+        plain.append(_rows(t.log_files(), "header", files))
     out = verdicts
     for part in plain:
         out = out.unionByName(part, allowMissingColumns=True)

@@ -15,6 +15,7 @@ from slotwatch.operators import view as V
 from slotwatch.operators import windows as W
 from slotwatch.plans.report import summary_report
 from slotwatch.session import fresh_path, prepare
+from slotwatch.sources.lines import file_meta
 
 
 class LogTables:
@@ -33,16 +34,17 @@ class LogTables:
         self.store = (store or fresh_path(self.spark, "logtables")).rstrip("/")
         self._buckets: dict[int, DataFrame] = {}
 
-    def _stage(self, name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        # Not partitioned by log: a log id may be empty or longer than a folder name, and
+        # an input split holds one log, so file statistics prune as well.
         path = f"{self.store}/{name}"
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(path)
+        df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     # --- stages -------------------------------------------------------------------
     @cached_property
     def parsed(self) -> DataFrame:
-        return self._stage("parsed", parse.parse_lines(self.lines), ("log_id",))
+        return self._stage("parsed", parse.parse_lines(self.lines))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -134,7 +136,13 @@ class LogTables:
         return V.filter_slots(self.slot_view(), **flags)
 
     def slot_page(self, offset: int, limit: int) -> DataFrame:
-        return V.page(self.slot_view(), offset, limit, "log_id", "slot")
+        """A page of every log's own slot list."""
+        at = [F.shiftright("slot", 16)]
+        return V.page(self.slot_view(), offset, limit, levels=[at], leaf=[F.col("slot")])
+
+    def incident_page(self, offset: int, limit: int) -> DataFrame:
+        """A page of every log's own incidents, longest first."""
+        return V.page_at(self.incidents(), offset, limit)
 
     def leader_summary(self) -> DataFrame:
         return A.leader_summary(self.events, self.outcomes)
@@ -193,8 +201,11 @@ class LogTables:
     def log_issue_groups(self) -> DataFrame:
         return self.issue_groups
 
-    def issue_histogram(self, bins: int, cap: int = issues.MAX_GROUP_TIMESTAMPS) -> DataFrame:
-        kept = issues.retained_timestamps(self.issue_events(), self.issue_groups, cap)
+    def issue_histogram(self, bins: int, cap: int | None = None) -> DataFrame:
+        """Over all timestamps of a group, or with ``cap`` over its first ones."""
+        kept = self.issue_events()
+        if cap is not None:
+            kept = issues.retained_timestamps(kept, self.issue_groups, cap)
         return issues.event_histogram(kept, issues.GROUP, bins, sized_by=self.issue_groups)
 
     def leader_window_histogram(self, bins: int) -> DataFrame:
@@ -282,9 +293,23 @@ class LogTables:
     def summary_report(self) -> DataFrame:
         return summary_report(self)
 
+    def log_files(self) -> DataFrame:
+        """Path, files, bytes, lines and time range per log, for lines that came from files."""
+        return file_meta(self.lines).join(self.meta.select("log_id", "lo_ns", "hi_ns"), "log_id", "left")
+
+    def discard(self) -> None:
+        """Delete the stages; every table of this object is gone with them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.store)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     # --- sinks --------------------------------------------------------------------
     def write_all(self, out: str, bucket_secs: int = DEFAULT_BUCKET_SECS) -> list[str]:
-        """Write every result table as Parquet under ``out``, one folder per table."""
+        """Write every result table as Parquet under ``out``, one folder per table.
+
+        ``out`` must not be the store or inside it: its tables are read while writing.
+        """
+        if f"{out.rstrip('/')}/".startswith(f"{self.store}/") or f"{self.store}/".startswith(f"{out.rstrip('/')}/"):
+            raise ValueError(f"results and stages need folders of their own: {out}, {self.store}")
         results = {
             "parsed": self.parsed,
             "log_meta": self.meta,
@@ -305,5 +330,5 @@ class LogTables:
             "summary_report": self.summary_report(),
         }
         for name, df in results.items():
-            df.write.mode("overwrite").partitionBy("log_id").parquet(f"{out.rstrip('/')}/{name}")
+            df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")
         return list(results)

@@ -51,6 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="slotwatch-")
         spark.conf.set("spark.checkpoint.dir", named)

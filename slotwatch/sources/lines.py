@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from slotwatch.operators.sizing import join_small
 from slotwatch.session import prepare
 
-FILE_BITS = 44  # arrival positions inside one file stay below 2^44
+# A position is 40 bits inside a file and 23 bits of the file's rank; both are checked.
+FILE_BITS = 40
+MAX_FILE_BYTES = 1 << 38
+MAX_FILES = 1 << 23  # of one log
 
 
 def position_in_file() -> Column:
@@ -49,7 +52,9 @@ def read_log_lines(
             # The same spelling of a path as in the driver's file listing below.
             F.input_file_name().alias("file_path"),
             F.col("_metadata.file_size").alias("file_size"),
-            position_in_file().alias("_pos"),
+            F.when(F.col("_metadata.file_size") <= MAX_FILE_BYTES, position_in_file())
+            .otherwise(F.raise_error(F.concat(F.lit("log file too large, split it: "), F.col("_metadata.file_path"))))
+            .alias("_pos"),
         )
     )
     if log_id is None:
@@ -63,15 +68,51 @@ def read_log_lines(
     ranks = listing.select("file_path", log_id(path).alias("log_id"), order.alias("_order")).select(
         "file_path", "log_id", place.cast("bigint").alias("_rank")
     )
-    return join_small(raw, ranks, ["file_path"]).select(
-        "log_id",
-        (F.shiftleft("_rank", FILE_BITS) + F.col("_pos")).alias("seq"),
+    # A file that the listing does not name, or one too many for the position, is an
+    # error and never a lost file or a position that wraps around.
+    rank = (
+        F.when(F.col("_rank").isNull(), F.raise_error(F.concat(F.lit("file not in the listing: "), path)))
+        .when(F.col("_rank") >= MAX_FILES, F.raise_error(F.concat(F.lit("too many files in one log: "), F.col("log_id"))))
+        .otherwise(F.col("_rank"))
+    )
+    return join_small(raw, ranks, ["file_path"], "left").select(
+        F.coalesce("log_id", F.lit("")).alias("log_id"),
+        (F.shiftleft(rank, FILE_BITS) + F.col("_pos")).alias("seq"),
         "line",
         "file_path",
         "file_size",
     )
 
 
+def file_columns() -> list[Column]:
+    """What a text scan must carry along for :func:`numbered_lines`."""
+    return [
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    ]
+
+
+def numbered_lines(
+    batch: DataFrame,
+    log_id: Callable[[Column], Column] | None = None,
+    file_number: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """``lines[log_id, seq, line]`` of one micro-batch of a text stream, straight from its scan."""
+    path = F.col("file_path")
+    row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    number = file_number(path).cast("bigint") if file_number is not None else F.lit(0).cast("bigint")
+    number = F.when((number >= 0) & (number < MAX_FILES) & (F.col("file_size") <= MAX_FILE_BYTES), number).otherwise(
+        F.raise_error(F.concat(F.lit("file number or size out of range: "), path))
+    )
+    value = F.col("value")
+    return batch.select(
+        (log_id(path) if log_id is not None else path).alias("log_id"),
+        (F.shiftleft(number, FILE_BITS) + F.col("_start") * 2 + row_in_task).alias("seq"),
+        F.when(F.endswith(value, F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(value).alias("line"),
+    )
+
+
 def file_meta(lines: DataFrame) -> DataFrame:
     """Files, bytes and lines per log, for lines that came from files."""
     files = lines.groupBy("log_id", "file_path").agg(

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwatch.operators.ordered import rank_within
+from slotwatch.operators.parse import PAYLOAD, parse_lines
 from slotwatch.session import fresh_path, prepare
-from slotwatch.sources.fixture_log import EVENT_COLUMNS, FIRST_SLOT, render
+from slotwatch.sources.fixture_log import EVENT_COLUMNS, FIRST_SLOT, fixture_log, render
+from slotwatch.sources.lines import file_meta, read_log_lines
 from slotwatch.streaming import jobs
 
 
@@ -37,6 +40,58 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rendered_files(spark: SparkSession, sf_dir: str) -> str:
+    """The rendered log as text files, several for each log, in arrival order by name."""
+    out = fresh_path(prepare(spark), "text-logs")
+    rows = fixture_log(spark, sf_dir).select("log_id", F.col("seq"), F.col("line"))
+    cuts = rows.groupBy("log_id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    part = F.least(((F.col("seq") - F.col("lo")) * 3 / (F.col("hi") - F.col("lo") + 1)).cast("int"), F.lit(2))
+    placed = rows.join(F.broadcast(cuts), "log_id").select("log_id", part.alias("part"), "seq", F.col("line").alias("value"))
+    # One task a file: the rendered test log is small, and a file is written in order.
+    placed.repartition(8, "log_id", "part").sortWithinPartitions("log_id", "part", "seq").drop("seq").write.partitionBy(
+        "log_id", "part"
+    ).text(out)
+    return out
+
+
+def _of_path(name: str):
+    return lambda path: F.regexp_extract(path, rf"/{name}=([^/]*)/", 1)
+
+
+def _read_files(spark: SparkSession, folder: str) -> DataFrame:
+    number = lambda p: _of_path("part")(p).cast("int")
+    return read_log_lines(spark, f"{folder}/*/*/*.txt", log_id=_of_path("log_id"), file_order=number)
+
+
+def _placed_events(parsed: DataFrame) -> DataFrame:
+    """Events with their place in the log's arrival order."""
+    events = parsed.where("outcome = 'event'")
+    placed = rank_within(events, ["log_id"], [[F.shiftright("seq", 16)]], [F.col("seq")], "place")
+    return placed.select("log_id", "place", "ts_ns", "kind", *PAYLOAD)
+
+
+def text_source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in arrival order, read from text files."""
+    lines = _read_files(spark, rendered_files(spark, sf_dir))
+    out = fresh_path(spark, "text-parsed")
+    parse_lines(lines).write.parquet(out)
+    return _placed_events(spark.read.parquet(out))
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and lines per log, read from text files."""
+    return file_meta(_read_files(spark, rendered_files(spark, sf_dir))).select("log_id", "n_files", "line_count")
+
+
+def streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed events from a stream over text files, two files a batch."""
+    folder, out = rendered_files(spark, sf_dir), fresh_path(prepare(spark), "stream-files")
+    jobs.stream_parse_files(
+        spark, f"{folder}/*/*", f"{out}/data", f"{out}/state", _of_path("log_id"), lambda p: _of_path("part")(p).cast("int"), max_files=2
+    ).awaitTermination()
+    return _placed_events(jobs.read_parts(spark, f"{out}/data"))
+
+
 def streamed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(prepare(spark), "stream-counters")
     jobs.stream_counters(_line_stream(spark, sf_dir), f"{out}/data", f"{out}/state").awaitTermination()

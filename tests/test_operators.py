@@ -243,18 +243,22 @@ def test_delta_truncates_toward_zero(spark):
 
 
 def test_resumes(make_slots):
+    crash, vote = "timeout_crashed_leader_ns", "voted_notarize_ns"
     t = make_slots(
-        {"slot": 100, "timeout_crashed_leader_ns": 14 * S_NS},
-        {"slot": 101},
-        {"slot": 104, "voted_notarize_ns": 15_600_000_000},
+        # Two crashed leaders in a row resume with the same vote.
+        {"slot": 7, crash: S_NS},
+        {"slot": 8, crash: 2 * S_NS},
+        {"slot": 12, vote: 6 * S_NS},
         # The next vote is earlier in time: dropped, without trying the one after.
-        {"slot": 200, "timeout_crashed_leader_ns": 50 * S_NS},
-        {"slot": 201, "voted_notarize_ns": 40 * S_NS},
-        {"slot": 202, "voted_notarize_ns": 60 * S_NS},
-        {"slot": 300, "timeout_crashed_leader_ns": 70 * S_NS, "voted_notarize_ns": 70 * S_NS},
+        {"slot": 30, crash: 9 * S_NS},
+        {"slot": 31, vote: 8 * S_NS},
+        {"slot": 32, vote: 10 * S_NS},
+        # A slot does not resume itself, and nothing votes after it.
+        {"slot": 40, crash: 20 * S_NS, vote: 21 * S_NS},
     )
     got = latency.vote_resumes(t)
-    assert rows(got, "tcl_slot", "resume_slot", "resume_us", "slot_gap", "severity") == [(100, 104, 1_600_000, 4, "elevated")]
+    want = [(7, 12, 5_000_000, 5, "severe"), (8, 12, 4_000_000, 4, "severe")]
+    assert rows(got, "tcl_slot", "resume_slot", "resume_us", "slot_gap", "severity") == want
 
 
 def test_severity_bounds(spark):
@@ -265,13 +269,14 @@ def test_severity_bounds(spark):
 
 
 def test_gaps(make_slots):
+    # Votes of either kind at 3, 4, 9 and 11: nothing before the first or after the last is a gap.
     t = make_slots(
-        {"slot": 90}, {"slot": 100, "voted_notarize_ns": 5}, {"slot": 102}, {"slot": 104, "voted_skip_ns": 9},
-        {"slot": 106, "voted_skip_ns": 11}, {"slot": 120},
+        {"slot": 1}, {"slot": 3, "voted_skip_ns": 30}, {"slot": 4, "voted_notarize_ns": 41}, {"slot": 5},
+        {"slot": 9, "voted_notarize_ns": 93, "voted_skip_ns": 94}, {"slot": 11, "voted_skip_ns": 117}, {"slot": 50},
     )
-    cols = ("start_slot", "end_slot", "gap_slots", "last_vote_ns", "resume_vote_ns")
-    assert rows(gaps.voting_gaps(t, 2), *cols) == [(101, 103, 3, 5, 9)]
-    assert rows(gaps.voting_gaps(t, 1), *cols) == [(101, 103, 3, 5, 9), (105, 105, 1, 9, 11)]
+    got = {r.start_slot: (r.end_slot, r.gap_slots) for r in gaps.voting_gaps(t, 1).collect()}
+    assert got == {5: (8, 4), 10: (10, 1)}
+    assert [r.start_slot for r in gaps.voting_gaps(t, 2).collect()] == [5]
 
 
 def test_top_k_is_pruned_before_the_shuffle(make_slots):
@@ -370,4 +375,5 @@ def test_view_labels_and_filters(make_slots):
     assert slots(vskip_only=True, canonical_skip_only=True) == [4, 5, 6]
     assert slots(vskip_only=True, tcl=True) == [5]
     assert slots(fast_only=True) == [2] and slots(slow_only=True) == [3, 7]
-    assert [r.slot for r in V.page(view, 2, 3, "slot").collect()] == [3, 4, 5]
+    got = V.page(view, 2, 3, [[F.shiftright("slot", 1)]], [F.col("slot")])
+    assert sorted(r.slot for r in got.collect()) == [3, 4, 5]
