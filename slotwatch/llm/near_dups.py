@@ -1,15 +1,16 @@
 """MinHash near-duplicate detection with tensored banding.
 
 Each text's distinct five-word shingles get ``HALVES`` small collections of
-``HALF_SIZE`` minhashes. Every pair of collections is a table key, so 16 collections of 2 give 120
-tables of 4 minhashes from 32 minhashes instead of 480. Texts with equal
+``HALF_SIZE`` minhashes. Every pair of collections is a table key, so 20 collections of 2 give 190
+tables of 4 minhashes from 40 minhashes instead of 760. Texts with equal
 sets are one class from the start. A collection value that no other class shares cannot
 make a shared key and is left out before keys are formed. Candidates are verified on full sets;
 classes linked by verified pairs form components.
 
-Within a table bucket all classes are first compared with one centre. Only pairs that are
-then still in different components are compared one by one, so a large group of copies costs about as
-many comparisons as it has members, and no pair of a bucket is left undecided.
+Within a table bucket classes are first compared with a centre, so a large group of copies
+costs about as many comparisons as it has members. Classes whose buckets still hold
+different components are then joined exactly, by their rarest shingles, so no pair that
+a table brings together is left undecided and near misses are not listed pair by pair.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +29,7 @@ from slotwatch.llm.common import WORD, stage, table, text_of
 from slotwatch.llm.components import components
 from slotwatch.operators.sizing import join_small
 
-HALVES = 16
+HALVES = 20
 HALF_SIZE = 2
 STAR_ROUNDS = 2
 
@@ -110,6 +111,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b").where(_linked("sa", "sb")).select("a", "b")
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each set."""
+    for batch in batches:
+        for c, blob in zip(batch.column("c").to_pylist(), batch.column("set")):
+            s = np.frombuffer(blob.as_py(), np.int64)
+            yield pa.record_batch([pa.array(np.full(len(s), c, np.int64)), pa.array(s)], names=["c", "s"])
+
+
+def _prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every pair ``[a, b]`` of ``classes`` ``[c, comp, n_shingles]`` in different components that may be linked.
+
+    Exact: with the shingles of each set in one order, rarest first, the first one that two
+    linked sets share is within the first quarter of both, and what follows it must suffice
+    for the overlap. Sets with many shingles of their own drop out at once. Of
+    classes that share such a shingle, those of its commonest component are not paired with each other.
+    """
+    n = F.col("n_shingles")
+    rows = sets.join(classes.select("c"), "c", "left_semi").select("c", "set").mapInArrow(_shingles, "c bigint, s bigint")
+    rows = stage(rows, "dups-shingles")
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rare_first = Window.partitionBy("c").orderBy("df", "s")
+    shared = rows.join(common, "s").withColumns(
+        {"_at": F.row_number().over(rare_first), "_shared": F.count(F.lit(1)).over(Window.partitionBy("c"))}
+    )
+    placed = shared.join(classes, "c").withColumn("at", n - F.col("_shared") + F.col("_at"))
+    prefix = stage(placed.where(F.col("at") <= n - F.floor((3 * n + 3) / 4) + 1).select("s", "c", "comp", n.alias("n"), "at"), "dups-prefix")
+    by_comp = prefix.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k"))
+    top = by_comp.groupBy("s").agg(F.max_by("comp", "k").alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("s", "top")
+    rows = stage(prefix.join(top, "s"), "dups-prefix-mixed")
+    a = rows.where("comp <> top").select("s", *[F.col(x).alias(f"{x}_a") for x in ("c", "comp", "n", "at")])
+    b = rows.select("s", "top", *[F.col(x).alias(f"{x}_b") for x in ("c", "comp", "n", "at")])
+    total = F.col("n_a") + F.col("n_b")
+    enough = 7 * (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) >= 3 * total
+    sized = 100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")
+    once = (F.col("comp_b") == F.col("top")) | (F.col("c_a") < F.col("c_b"))
+    met = a.alias("l").join(
+        b.alias("r"),
+        (F.col("l.s") == F.col("r.s")) & (F.col("comp_a") != F.col("comp_b")) & once & sized & enough,
+    )
+    return met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """``[doc_id, h, n_shingles, comp, component_id]`` for every row of ``docs`` (doc_id, text).
 
@@ -158,35 +201,30 @@ def link(docs: DataFrame) -> DataFrame:
     links = tested
     comps = involved.select(F.col("c").alias("node"), F.col("c").alias("comp"))
     stars = stage(met.where("c <> lo").groupBy(F.col("lo").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "dups-stars")
-    for step in range(STAR_ROUNDS + 2):
-        if step <= STAR_ROUNDS:
-            open_ = _apart(stars.join(tested, ["a", "b"], "left_anti"), comps)
-            if step < STAR_ROUNDS:  # first the likeliest centre of each class alone
-                best = open_.groupBy("b").agg(F.max_by(F.struct("a"), F.struct("shared", "a")).alias("best"))
-                open_ = best.select("best.a", "b")
-            open_ = open_.select("a", "b")
-        else:
-            member = met.select("key", "c").join(comps.select(F.col("node").alias("c"), "comp"), "c")
-            mixed = member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            member = member.join(mixed, "key")
-            other = member.select("key", F.col("c").alias("b"), F.col("comp").alias("comp_b"))
-            open_ = (
-                member.withColumnRenamed("c", "a").join(other, "key").where("comp <> comp_b and a < b").select("a", "b").distinct()
-                .join(tested, ["a", "b"], "left_anti")
-            )
-        open_ = stage(open_, "dups-open")
-        if open_.isEmpty():
-            continue
+
+    def joined(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links so far with the new ones, and the component of every class."""
+        every = stage(links.unionByName(found), "dups-all-links")
+        labels = components(every)
+        nodes = involved.select(F.col("c").alias("node")).join(labels, "node", "left")
+        return every, stage(nodes.select("node", F.coalesce("comp", "node").alias("comp")), "dups-comps")
+
+    for _ in range(STAR_ROUNDS):
+        # Each class with the centre that it shares most tables with, of those still apart.
+        open_ = _apart(stars.join(tested, ["a", "b"], "left_anti"), comps)
+        open_ = stage(open_.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "dups-open")
         found = stage(_verified(open_, sets, involved), "dups-links")
         tested = stage(tested.unionByName(open_), "dups-tested")
-        if found.isEmpty():
-            continue
-        links = stage(links.unionByName(found), "dups-all-links")
-        labels = components(links)
-        comps = stage(
-            involved.select(F.col("c").alias("node")).join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")),
-            "dups-comps",
-        )
+        if not found.isEmpty():
+            links, comps = joined(found)
+    member = met.select("key", "c").join(comps.select(F.col("node").alias("c"), "comp"), "c")
+    mixed = member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    apart = stage(member.join(mixed, "key").select("c", "comp").distinct(), "dups-apart")
+    if not apart.isEmpty():
+        pairs = stage(_prefix_pairs(apart.join(involved.select("c", "n_shingles"), "c"), sets), "dups-open")
+        found = stage(_verified(pairs, sets, involved), "dups-links")
+        if not found.isEmpty():
+            links, comps = joined(found)
     named = classes.select("c", "rep").join(comps.select(F.col("node").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = stage(named.join(smallest, "comp").select("c", "comp", "component_id"), "dups-named")
