@@ -38,7 +38,10 @@ class Lattice:
 
     def __init__(self, opening: dict[str, float], going: dict[str, float], byte: list[float], stop: float):
         self.opening, self.going, self.byte, self.stop = opening, going, byte, stop
-        self.longest = max(map(len, [*opening, *going]), default=1)
+        # All beginnings of pieces: where a walk along a word leaves this, no longer piece fits.
+        self.open_walk, self.go_walk = (
+            {p[:i]: NEVER for p in pieces for i in range(1, len(p))} | pieces for pieces in (opening, going)
+        )
 
     @classmethod
     def from_vocabulary(cls, path: str) -> Lattice:
@@ -75,59 +78,93 @@ class Lattice:
     def _bytes(self, char: str) -> float:
         return sum(self.byte[b] for b in char.encode())
 
-    def forward(self, word: str) -> list[float]:
-        """For each length, the log probability of all ways to reach it."""
-        opening, going, longest = self.opening, self.going, self.longest
-        out = [opening[""]]
-        for end in range(1, len(word) + 1):
-            terms = []
-            for start in range(max(0, end - longest), end):
-                p = going.get(word[start:end])
+    def steps(self, word: str) -> list[list[tuple[int, str, float]]]:
+        """For each place in ``word`` the pieces that start there: ``(end, piece, log probability)``."""
+        walk, n = self.go_walk, len(word)
+        out = []
+        for start in range(n):
+            found = []
+            for end in range(start + 1, n + 1):
+                piece = word[start:end]
+                p = walk.get(piece)
                 if p is None:
-                    if end - start > 1:
-                        continue
-                    p = self._bytes(word[start])
-                terms.append(out[start] + p)
-            if end <= longest:
-                p = opening.get(word[:end])
-                if p is not None:
-                    terms.append(p)
-            top = max(terms)
-            out.append(top + math.log(sum([math.exp(t - top) for t in terms])) if len(terms) > 1 else top)
+                    break
+                if p != NEVER:
+                    found.append((end, piece, p))
+            if not found or found[0][0] != start + 1:
+                found.insert(0, (start + 1, "", self._bytes(word[start])))
+            out.append(found)
         return out
 
-    def log_prob(self, word: str) -> float:
-        return self.forward(word)[-1] + self.stop
+    def starts(self, word: str) -> list[tuple[int, str, float]]:
+        """The pieces that open ``word``, the bare mark among them."""
+        out = [(0, "", self.opening[""])]
+        for end in range(1, len(word) + 1):
+            p = self.open_walk.get(word[:end])
+            if p is None:
+                break
+            if p != NEVER:
+                out.append((end, word[:end], p))
+        return out
 
-    def expected(self, word: str, opening: Counter, going: Counter, byte: Counter) -> None:
-        """Add the expected uses of each piece in ``word``."""
-        ahead, n = self.forward(word), len(word)
-        total = ahead[-1]
-        behind = [NEVER] * n + [0.0]
+    def log_prob(self, word: str) -> float:
+        """Forward recursion: at each place, the log of the sum over all ways to reach it."""
+        terms: list[list[float]] = [[] for _ in range(len(word) + 1)]
+        for end, _, p in self.starts(word):
+            terms[end].append(p)
+        exp, log = math.exp, math.log
+        for start, found in enumerate(self.steps(word)):
+            at = terms[start]
+            if len(at) > 1:
+                top = max(at)
+                here = top + log(sum([exp(t - top) for t in at]))
+            else:
+                here = at[0]
+            for end, _, p in found:
+                terms[end].append(here + p)
+        at = terms[-1]
+        top = max(at)
+        return top + log(sum([exp(t - top) for t in at])) + self.stop
+
+    def expected(self, word: str, opening: dict[str, float], going: dict[str, float], byte: list[float]) -> None:
+        """Add the expected uses of each piece in ``word``: forward and backward sums, each place
+        scaled by the best way to reach it so that a word may have any length."""
+        n, exp, log = len(word), math.exp, math.log
+        steps, starts = self.steps(word), self.starts(word)
+        best = [NEVER] * (n + 1)
+        for end, _, p in starts:
+            best[end] = p
+        for start, found in enumerate(steps):
+            here = best[start]
+            for end, _, p in found:
+                if here + p > best[end]:
+                    best[end] = here + p
+        ahead = [0.0] * (n + 1)
+        for end, _, p in starts:
+            ahead[end] = exp(p - best[end])
+        scaled = []
+        for start, found in enumerate(steps):
+            here, base = ahead[start], best[start]
+            row = []
+            for end, piece, p in found:
+                q = exp(base + p - best[end])
+                ahead[end] += here * q
+                row.append((end, piece, q))
+            scaled.append(row)
+        behind = [0.0] * n + [1.0 / ahead[n]]
         for start in range(n - 1, -1, -1):
-            terms = []
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                piece = word[start:end]
-                p = self.going.get(piece)
-                plain = p is not None
-                if not plain:
-                    if end - start > 1:
-                        continue
-                    p = self._bytes(piece)
-                through = p + behind[end]
-                terms.append(through)
-                uses = math.exp(ahead[start] + through - total)
-                if plain:
-                    going[piece] += uses
+            here, total = ahead[start], 0.0
+            for end, piece, q in scaled[start]:
+                through = q * behind[end]
+                total += through
+                if piece:
+                    going[piece] += here * through
                 else:
-                    for b in piece.encode():
-                        byte[b] += uses
-            top = max(terms)
-            behind[start] = top + math.log(sum([math.exp(t - top) for t in terms]))
-        for end in range(min(n, self.longest) + 1):
-            p = self.opening.get(word[:end])
-            if p is not None:
-                opening[word[:end]] += math.exp(p + behind[end] - total)
+                    for b in word[start].encode():
+                        byte[b] += here * through
+            behind[start] = total
+        for end, piece, p in starts:
+            opening[piece] += exp(p - best[end]) * behind[end]
 
     def refined(self, counts: list[tuple[str, str, float]], n_words: int) -> Lattice:
         """New probabilities from expected counts, with the present ones as a prior."""
@@ -146,13 +183,13 @@ class Lattice:
 
 def _expected_counts(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opening, going, byte = Counter(), Counter(), Counter()
         lattice = model.value
+        opening, going, byte = dict.fromkeys(lattice.opening, 0.0), dict.fromkeys(lattice.going, 0.0), [0.0] * 256
         for batch in batches:
             for word in batch.column("word").to_pylist():
                 lattice.expected(word, opening, going, byte)
         rows = [("open", p, u) for p, u in opening.items()] + [("go", p, u) for p, u in going.items()]
-        rows += [("byte", str(b), u) for b, u in byte.items()]
+        rows += [("byte", str(b), u) for b, u in enumerate(byte)]
         kinds, pieces, uses = zip(*rows) if rows else ((), (), ())
         yield pa.record_batch(
             [pa.array(kinds, pa.string()), pa.array(pieces, pa.string()), pa.array(uses, pa.float64())],
