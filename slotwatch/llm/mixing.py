@@ -100,7 +100,7 @@ def mix(
     max_copies: int = MAX_COPIES,
     seed: int = 17,
 ) -> DataFrame:
-    """``[doc_id, size, source_size, target, copies]`` for every row of ``docs``.
+    """``[doc_id, source, size, source_size, target, copies]`` for every row of ``docs``.
 
     ``docs`` needs doc_id, text and source; other columns are ignored. Null texts and
     texts without words have size 0 and are never taken. A null source is a source of
@@ -190,7 +190,7 @@ def mix(
         .join(salted, (F.col("_key") == F.col("_pkey")) & (F.col("_null") == F.col("_pnull")) & (F.col("_salt") == F.col("p_salt")))
         .select("doc_id", "source", "size", "source_size", "target", "left", "whole", "q", "bucket", "e_bucket", "_before")
     )
-    out = ["doc_id", "size", "source_size", "target"]
+    out = ["doc_id", "source", "size", "source_size", "target"]
     inside = F.col("q").isNotNull() & (F.col("bucket") == F.col("e_bucket"))
     direct = placed.where(~F.coalesce(inside, F.lit(False))).select(
         *out,
