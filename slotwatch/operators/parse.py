@@ -328,25 +328,29 @@ def event_kind_counts(parsed: DataFrame) -> DataFrame:
     )
 
 
-def ingest_counts(parsed: DataFrame) -> DataFrame:
+def ingest_aggregates() -> list[Column]:
     """Lines per outcome; ``ingested`` are the lines that reached the fold."""
 
     def n(outcome: str) -> Column:
         return F.count_if(F.col("outcome") == outcome)
 
-    return parsed.groupBy("log_id").agg(
+    return [
         F.count(F.lit(1)).alias("lines"),
         n("continuation").alias("continuation_lines"),
         n("ignored").alias("ignored_lines"),
         n("parse_error").alias("parse_errors"),
         F.count_if(F.col("outcome").isin("event", "issue")).alias("ingested"),
-    )
+    ]
+
+
+def ingest_counts(parsed: DataFrame) -> DataFrame:
+    return parsed.groupBy("log_id").agg(*ingest_aggregates())
+
+
+def meta_aggregates() -> list[Column]:
+    """Line count and time range; only events and issues move the range."""
+    return [F.count(F.lit(1)).alias("line_count"), F.min("ts_ns").alias("lo_ns"), F.max("ts_ns").alias("hi_ns")]
 
 
 def log_meta(parsed: DataFrame) -> DataFrame:
-    """Line count and time range per log; only events and issues move the range."""
-    return parsed.groupBy("log_id").agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.min("ts_ns").alias("lo_ns"),
-        F.max("ts_ns").alias("hi_ns"),
-    )
+    return parsed.groupBy("log_id").agg(*meta_aggregates())

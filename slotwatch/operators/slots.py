@@ -119,11 +119,11 @@ EVENT_COUNTERS = {
 }
 
 
-def overall_counters(parsed: DataFrame) -> DataFrame:
-    """Event counters per log (logs without any event have a row of zeros)."""
+def counter_aggregates() -> list[Column]:
+    """Event counters of a log; all zero without any event."""
     kind = F.col("kind")
     window = kind == "ProduceWindow"
-    return parsed.groupBy("log_id").agg(
+    return [
         *[F.count_if(kind == k).alias(name) for name, k in EVENT_COUNTERS.items()],
         F.count_if((kind == "Finalized") & F.col("fast")).alias("finalized_fast"),
         F.count_if((kind == "Finalized") & ~F.col("fast")).alias("finalized_slow"),
@@ -132,7 +132,11 @@ def overall_counters(parsed: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(kind == "ClusterSlotsStopped"), F.lit(False)).alias(
             "cluster_slots_service_stopped"
         ),
-    )
+    ]
+
+
+def overall_counters(parsed: DataFrame) -> DataFrame:
+    return parsed.groupBy("log_id").agg(*counter_aggregates())
 
 
 def slot_outcomes(slots: DataFrame) -> DataFrame:

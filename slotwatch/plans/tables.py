@@ -51,13 +51,23 @@ class LogTables:
         """Parsed rows that reach the fold (events and issues)."""
         return self.parsed.where(F.col("outcome").isin("event", "issue"))
 
+    @cached_property
+    def per_log(self) -> DataFrame:
+        """Everything that is one number per log of parsed lines, from one pass."""
+        aggregates = [*parse.meta_aggregates(), *parse.ingest_aggregates(), *S.counter_aggregates()]
+        return self._stage("per_log", self.parsed.groupBy("log_id").agg(*aggregates))
+
     @cached_property
     def meta(self) -> DataFrame:
-        return self._stage("log_meta", parse.log_meta(self.parsed))
+        return self.per_log.select("log_id", "line_count", "lo_ns", "hi_ns")
+
+    @cached_property
+    def ingest(self) -> DataFrame:
+        return self.per_log.select("log_id", "lines", "continuation_lines", "ignored_lines", "parse_errors", "ingested")
 
     @cached_property
     def overall(self) -> DataFrame:
-        return self._stage("overall", S.overall_counters(self.parsed))
+        return self.per_log.drop(*self.meta.columns[1:], *self.ingest.columns[1:])
 
     @cached_property
     def slots(self) -> DataFrame:
@@ -94,7 +104,7 @@ class LogTables:
     def _facts(self) -> DataFrame:
         facts = health.log_facts(
             self.meta,
-            parse.ingest_counts(self.parsed),
+            self.ingest,
             self.overall,
             self.outcomes,
             standstill.tcl_outside_standstill(self.slots, self.ranges, self.overall),
@@ -105,7 +115,7 @@ class LogTables:
 
     # --- parse --------------------------------------------------------------------
     def ingest_counts(self) -> DataFrame:
-        return parse.ingest_counts(self.parsed)
+        return self.ingest
 
     def log_meta(self) -> DataFrame:
         return self.meta
