@@ -28,6 +28,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, **extra: Column) -> DataFrame:
+    """``df`` as one column ``row`` beside ``extra`` ones, so that no name of its can clash with them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(row, *[c.alias(name) for name, c in extra.items()])
+
+
+def id_key(column: str) -> Column:
+    """An id as text for joins, null included."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+
 def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwatch.llm.common import stage, table, text_of, words
+from slotwatch.llm.common import id_key, packed, stage, table, text_of, words
 from slotwatch.operators.sizing import join_small
 
 SHINGLE = 5
@@ -157,10 +157,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item; rows with a null doc_id follow the same rule."""
-    bad = stage(contaminated(docs, items).select(F.col("doc_id").alias("_bad"), F.lit(True).alias("_is_bad")).distinct(), "bench-bad")
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    joined = join_small(docs.withColumn("_bad_key", key("doc_id")), bad.select(key("_bad").alias("_bad_key"), "_is_bad"), ["_bad_key"], "left")
-    return joined.where(F.col("_is_bad").isNull()).select(*[joined[c] for c in docs.columns])
+    bad = contaminated(docs, items).select(id_key("doc_id").alias("k"), F.lit(True).alias("bad")).distinct()
+    rows = join_small(packed(docs, k=id_key("doc_id")), stage(bad, "bench-bad"), ["k"], "left")
+    return rows.where(F.col("bad").isNull()).select("row.*")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwatch.llm.common import stage, sums_before, table, text_of, word_count
+from slotwatch.llm.common import id_key, packed, stage, sums_before, table, text_of, word_count
 
 MAX_COPIES = 3
 LENGTH_POWER = 0.5
@@ -206,17 +206,12 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs`` that are taken, and how often (``mix_copies``)."""
-    taken = (
-        mix(docs, **options)
-        .where("copies > 0")
-        .select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("mix_copies"))
-        .groupBy("_id", "_size")
-        .agg(F.max("mix_copies").alias("mix_copies"))
-    )
-    sized = docs.withColumn("_words", word_count(text_of()))
-    joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return joined.select(*[sized[c] for c in docs.columns], "mix_copies")
+    """The mix itself: the rows of ``docs`` that are taken, and how often (``mix_copies``, which
+    replaces a column of that name). Rows with equal doc_id and size are taken alike."""
+    taken = mix(docs, **options).where("copies > 0").select(id_key("doc_id").alias("k"), "size", "copies")
+    taken = taken.groupBy("k", "size").agg(F.max("copies").alias("mix_copies"))
+    rows = packed(docs.drop("mix_copies"), k=id_key("doc_id"), size=word_count(text_of()))
+    return rows.join(taken, ["k", "size"]).select("row.*", "mix_copies")
 
 
 def op1_pareto_mix(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotwatch.llm import hashing
-from slotwatch.llm.common import WORD, stage, table, text_of
+from slotwatch.llm.common import WORD, id_key, packed, stage, table, text_of
 from slotwatch.llm.components import components
 from slotwatch.operators.sizing import join_small
 
@@ -249,14 +249,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows repeated with that doc_id and text one stays. Texts without words stay.
     """
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     head = link(docs).where("comp is not null").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     head = head.groupBy("comp").agg(F.min(F.struct("doc_id", "h")).alias("head"))
-    head = stage(head.select(key("head.doc_id").alias("_k"), F.col("head.h").alias("_h")), "dups-heads")
-    keyed = docs.withColumns({"_k": key("doc_id"), "_h": F.xxhash64(text_of())})
-    no_words = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    kept = keyed.where(~no_words).join(head, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"])
-    return kept.select(*docs.columns).unionByName(docs.where(no_words))
+    head = stage(head.select(id_key("head.doc_id").alias("k"), F.col("head.h").alias("h")), "dups-heads")
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = packed(docs, k=id_key("doc_id"), h=F.xxhash64(text_of()), words=has_words)
+    kept = rows.where("words").join(head, ["k", "h"], "left_semi").dropDuplicates(["k", "h"])
+    return kept.select("row.*").unionByName(rows.where("not words").select("row.*"))
 
 
 def op8_near_dups(spark, sf_dir: str) -> DataFrame:
