@@ -80,15 +80,9 @@ def blocks(fp: str) -> Column:
     )
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``[doc_id, item_id, similarity, first_word, n_words]``: the best window of each pair.
-
-    Pairs at similarity ``SIMILAR`` or more between a benchmark item and an item-sized
-    window anywhere in the text. Null and empty texts, of documents and items, match
-    nothing. Repeated document rows give their pairs once; items with equal texts are
-    all named. Ties take the earliest window. Other columns are ignored; empty tables
-    give no pairs.
-    """
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``[doc_id, h, item_id, start, n, similarity]``: all windows that are similar to an item, ``h``
+    being a hash of the document's text."""
     spark = docs.sparkSession
     item = stage(
         items.select("item_id", tokens(text_of()).alias("w"))
@@ -113,7 +107,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         found = join_small(grams, stage(seeds, "bench-seeds"), ["gram"])
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, similarity double, first_word int, n_words int")
+        return spark.createDataFrame([], "doc_id bigint, h bigint, item_id bigint, start int, n int, similarity double")
     shift = F.explode(F.sequence(F.lit(-SHIFTS), F.lit(SHIFTS))).alias("shift")
     placed = hits.select("doc_id", "h", "size", "n", (F.col("at") - F.col("offset")).alias("start"), shift)
     last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
@@ -143,10 +137,22 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     shingled = stage(item.select("item_id", "n", weighted_shingles(F.col("w")).alias("item_shingles")), "bench-shingles")
     both = join_small(pairs.join(cut, ids), shingled, ["item_id", "n"])
     scored = both.select(
-        "doc_id", "_k", "item_id", "start", "n", similarity(weighted_shingles(F.col("w")), F.col("item_shingles")).alias("similarity")
-    ).where(F.col("similarity") >= SIMILAR)
+        "doc_id", "h", "item_id", "start", "n", similarity(weighted_shingles(F.col("w")), F.col("item_shingles")).alias("similarity")
+    )
+    return scored.where(F.col("similarity") >= SIMILAR)
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``[doc_id, item_id, similarity, first_word, n_words]``: the best window of each pair.
+
+    Pairs at similarity ``SIMILAR`` or more between a benchmark item and an item-sized
+    window anywhere in the text. Null and empty texts, of documents and items, match
+    nothing. Repeated document rows give their pairs once; items with equal texts are
+    all named. Ties take the earliest window. Other columns are ignored; empty tables
+    give no pairs.
+    """
     best = F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"), -F.col("n"))).alias("best")
-    return scored.groupBy("doc_id", "item_id").agg(best).select(
+    return matches(docs, items).groupBy("doc_id", "item_id").agg(best).select(
         "doc_id",
         "item_id",
         F.col("best.similarity").alias("similarity"),
@@ -156,9 +162,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; rows with a null doc_id follow the same rule."""
-    bad = contaminated(docs, items).select(id_key("doc_id").alias("k"), F.lit(True).alias("bad")).distinct()
-    rows = join_small(packed(docs, k=id_key("doc_id")), stage(bad, "bench-bad"), ["k"], "left")
+    """``docs`` without those that hold a benchmark item, told by doc_id (also null) and text."""
+    bad = matches(docs, items).select(id_key("doc_id").alias("k"), "h", F.lit(True).alias("bad")).distinct()
+    rows = packed(docs, k=id_key("doc_id"), h=F.xxhash64(text_of()))
+    rows = join_small(rows, stage(bad, "bench-bad"), ["k", "h"], "left")
     return rows.where(F.col("bad").isNull()).select("row.*")
 
 

@@ -168,7 +168,11 @@ def link(docs: DataFrame) -> DataFrame:
         "dups-rows",
     )
     classes = stage(
-        rows.where("c is not null").groupBy("c", "n_shingles", "halves").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")),
+        rows.where("c is not null").groupBy("c", "n_shingles", "halves").agg(
+            F.min("doc_id").alias("rep"),
+            F.min_by("h", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("rep_h"),
+            F.count(F.lit(1)).alias("copies"),
+        ),
         "dups-classes",
     )
     half = classes.select("c", F.posexplode("halves").alias("i", "half"))
@@ -186,13 +190,13 @@ def link(docs: DataFrame) -> DataFrame:
     keyed = stage(keyed, "dups-keyed")
     bucket = keyed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "lo")
     met = stage(keyed.join(bucket, "key"), "dups-keys")
-    involved = stage(met.select("c").distinct().join(classes.select("c", "rep", "n_shingles", "copies"), "c"), "dups-involved")
+    involved = stage(met.select("c").distinct().join(classes.select("c", "rep", "rep_h", "n_shingles", "copies"), "c"), "dups-involved")
 
     # Full sets of the classes that have candidates, from one document of each. A row with the class's
     # smallest doc_id and its class is that document; repeated rows are dropped.
-    want = involved.select("c", F.coalesce(F.col("rep").cast("string"), F.lit("null")).alias("_k"))
-    texts = docs.select("text", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_k"))
-    sets = join_small(texts, want, ["_k"]).select("c", "text").mapInArrow(_sets, "c bigint, set binary")
+    want = involved.select("c", id_key("rep").alias("k"), F.col("rep_h").alias("h"))
+    texts = docs.select("text", id_key("doc_id").alias("k"), F.xxhash64(text_of()).alias("h"))
+    sets = join_small(texts, want, ["k", "h"]).select("c", "text").mapInArrow(_sets, "c bigint, set binary")
     if not rows.groupBy("doc_id", "c").count().where("count > 1 and c is not null").isEmpty():
         sets = sets.dropDuplicates(["c"])
     sets = stage(sets, "dups-sets")
