@@ -120,7 +120,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Every pair ``[a, b]`` of ``classes`` ``[c, comp, n_shingles]`` in different components that may be linked.
+    """Every pair ``[a, b, shared]`` of ``classes`` ``[c, comp, n_shingles]`` in different components that may be linked.
 
     Exact: with the shingles of each set in one order, rarest first, the first one that two
     linked sets share is within the first quarter of both, and what follows it must suffice
@@ -150,7 +150,8 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
         b.alias("r"),
         (F.col("l.s") == F.col("r.s")) & (F.col("comp_a") != F.col("comp_b")) & once & sized & enough,
     )
-    return met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
+    ends = met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
+    return ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -216,22 +217,31 @@ def link(docs: DataFrame) -> DataFrame:
         nodes = involved.select(F.col("c").alias("node")).join(labels, "node", "left")
         return every, stage(nodes.select("node", F.coalesce("comp", "node").alias("comp")), "dups-comps")
 
-    for _ in range(STAR_ROUNDS):
-        # Each class with the centre that it shares most tables with, of those still apart.
-        open_ = _apart(stars.join(tested, ["a", "b"], "left_anti"), comps)
-        open_ = stage(open_.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "dups-open")
-        found = stage(_verified(open_, sets, involved), "dups-links")
-        tested = stage(tested.unionByName(open_), "dups-tested")
-        if not found.isEmpty():
-            links, comps = joined(found)
+    def compared(pairs: DataFrame, rounds: int, rest: bool) -> None:
+        """Verify ``pairs`` ``[a, b, shared]``, in each round the likeliest of every class whose
+        ends are still apart; with ``rest`` then all that are left."""
+        nonlocal tested, links, comps
+        for step in range(rounds + rest):
+            open_ = _apart(pairs.join(tested, ["a", "b"], "left_anti"), comps)
+            if step < rounds:
+                ends = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+                best = ends.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+                open_ = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            open_ = stage(open_.select("a", "b"), "dups-open")
+            if open_.isEmpty():
+                return
+            found = stage(_verified(open_, sets, involved), "dups-links")
+            tested = stage(tested.unionByName(open_), "dups-tested")
+            if not found.isEmpty():
+                links, comps = joined(found)
+
+    compared(stars, STAR_ROUNDS, rest=False)
     member = met.select("key", "c").join(comps.select(F.col("node").alias("c"), "comp"), "c")
     mixed = member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     apart = stage(member.join(mixed, "key").select("c", "comp").distinct(), "dups-apart")
     if not apart.isEmpty():
-        pairs = stage(_prefix_pairs(apart.join(involved.select("c", "n_shingles"), "c"), sets), "dups-open")
-        found = stage(_verified(pairs, sets, involved), "dups-links")
-        if not found.isEmpty():
-            links, comps = joined(found)
+        pairs = _prefix_pairs(apart.join(involved.select("c", "n_shingles"), "c"), sets)
+        compared(stage(pairs, "dups-pairs"), STAR_ROUNDS, rest=True)
     named = classes.select("c", "rep").join(comps.select(F.col("node").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = stage(named.join(smallest, "comp").select("c", "comp", "component_id"), "dups-named")
