@@ -3,10 +3,10 @@
 A word's lattice probability sums over all its segmentations into pieces of an existing
 vocabulary, by a forward recursion in log space. Pieces that open a word and pieces that
 continue it (or end it) are two distributions, both from the vocabulary's scores and
-then from the pieces' expected counts over the distinct training words (forward and
-backward sums). The lattice is the base of an absolute-discounting model: counts of
-training words less a discount, whose mass goes to the lattice, so every text has a
-probability and all of them sum to one. Characters outside the vocabulary fall back to its byte pieces.
+then from the pieces' expected counts over all training words (forward and backward
+sums of each distinct word, times its count). A text's score is the sum of its words'
+lattice probabilities and of its end, so every text has a probability and all of them
+sum to one. Characters outside the vocabulary fall back to its byte pieces.
 
 Each chunk of documents sends its distinct words to be counted and gets their scores
 back, so what is shuffled follows distinct words per chunk and not tokens.
@@ -126,9 +126,9 @@ class Lattice:
         top = max(at)
         return top + log(sum([exp(t - top) for t in at])) + self.stop
 
-    def expected(self, word: str, opening: dict[str, float], going: dict[str, float], byte: list[float]) -> None:
-        """Add the expected uses of each piece in ``word``: forward and backward sums, each place
-        scaled by the best way to reach it so that a word may have any length."""
+    def expected(self, word: str, opening: dict[str, float], going: dict[str, float], byte: list[float], times: float = 1.0) -> None:
+        """Add the expected uses of each piece in ``times`` times ``word``: forward and backward sums,
+        each place scaled by the best way to reach it so that a word may have any length."""
         n, exp, log = len(word), math.exp, math.log
         steps, starts = self.steps(word), self.starts(word)
         best = [NEVER] * (n + 1)
@@ -151,7 +151,7 @@ class Lattice:
                 ahead[end] += here * q
                 row.append((end, piece, q))
             scaled.append(row)
-        behind = [0.0] * n + [1.0 / ahead[n]]
+        behind = [0.0] * n + [times / ahead[n]]
         for start in range(n - 1, -1, -1):
             here, total = ahead[start], 0.0
             for end, piece, q in scaled[start]:
@@ -186,8 +186,8 @@ def _expected_counts(model) -> object:
         lattice = model.value
         opening, going, byte = dict.fromkeys(lattice.opening, 0.0), dict.fromkeys(lattice.going, 0.0), [0.0] * 256
         for batch in batches:
-            for word in batch.column("word").to_pylist():
-                lattice.expected(word, opening, going, byte)
+            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+                lattice.expected(word, opening, going, byte, c)
         rows = [("open", p, u) for p, u in opening.items()] + [("go", p, u) for p, u in going.items()]
         rows += [("byte", str(b), u) for b, u in enumerate(byte)]
         kinds, pieces, uses = zip(*rows) if rows else ((), (), ())
@@ -227,21 +227,16 @@ def _chunk_words(key, group):  # no type hints: Spark would read them
 
 
 def _scorer(stats: dict) -> object:
-    n, v, docs, types, d = (stats[k] for k in ("tokens", "vocabulary", "docs", "types", "discount"))
+    n, v, docs = (stats[k] for k in ("tokens", "vocabulary", "docs"))
     floor = n + 0.5 * (v + 1)
+    # After each word comes another or the end; without training words either is as likely.
+    more, end = ((n - docs) / n, math.log10(docs / n)) if n > docs else (0.5, -math.log10(2))
 
     def run(key, group, scored):  # no type hints: Spark would read them
         c = scored.column("c").to_numpy()
         lattice = scored.column("lattice").to_numpy()
         base = np.log10((c + 0.5) / floor)
-        with np.errstate(divide="ignore"):
-            if n:
-                own = np.log(np.maximum(c - d, 0) / n)
-                model = np.logaddexp(own, lattice + math.log(d * types / n)) if d * types > 0 else own
-            else:
-                model = lattice - math.log(2)
-        model = model / math.log(10)
-        end = math.log10(docs / n) if n else -math.log10(2)
+        model = (lattice + math.log(more)) / math.log(10)
         at = {w.encode(): i for i, w in enumerate(scored.column("word").to_pylist())}.__getitem__
         n_tokens, n_known, base_score, score = [], [], [], []
         for text in group.column("text"):
@@ -274,8 +269,8 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY, em_rounds: int =
 
     ``docs`` needs doc_id and text; other columns are ignored. Null and empty texts are
     the end token alone. A null doc_id counts as the empty string, a training document.
-    Repeated rows count and are scored each. Without training texts every word has its
-    lattice probability. An empty table gives an empty result.
+    Repeated rows count and are scored each. Without training words the vocabulary's own
+    weights are the lattice's. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -287,23 +282,20 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY, em_rounds: int =
     words = stage(found.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     one = lambda cond: F.count(F.when(cond, 1))
     got = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), one(F.col("c") > 0).alias("types"), one(F.col("c") == 1).alias("once"), one(F.col("c") == 2).alias("twice")
+        F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), one(F.col("c") > 0).alias("types")
     ).first()
     n_docs = size["docs"] or 0
     stats = {
         "tokens": got["tokens"] + n_docs,
-        "types": got["types"],
         "vocabulary": got["types"] + (n_docs > 0),
         "docs": n_docs,
-        # How much less often words come again than their counts say.
-        "discount": got["once"] / (got["once"] + 2 * got["twice"]) if got["once"] else 0.5,
     }
     lattice = Lattice.from_vocabulary(vocabulary)
     for _ in range(em_rounds if got["types"] else 0):
-        uses = words.where("c > 0").select("word").mapInArrow(_expected_counts(sc.broadcast(lattice)), "kind string, piece string, uses double")
+        uses = words.where("c > 0").mapInArrow(_expected_counts(sc.broadcast(lattice)), "kind string, piece string, uses double")
         # At most one row a piece of the vocabulary.
         uses = uses.groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).collect()
-        lattice = lattice.refined([tuple(r) for r in uses], got["types"])
+        lattice = lattice.refined([tuple(r) for r in uses], got["tokens"])
     scored = stage(words.mapInArrow(_lattice_scores(sc.broadcast(lattice)), "word string, c bigint, lattice double"), "lm-scored")
     lookup = found.select("chunk", "word").join(scored, "word")
     return rows.groupBy("chunk").cogroup(lookup.groupBy("chunk")).applyInArrow(

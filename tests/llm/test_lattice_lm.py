@@ -97,3 +97,29 @@ def test_without_training_texts(spark):
     only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = lm.score_texts(spark.createDataFrame([(only, "some text")], "doc_id bigint, text string")).first()
     assert (got.n_known, got.train_tokens) == (0, 0) and math.isfinite(got.score)
+
+
+def test_score_is_the_lattice_of_all_words(spark):
+    docs = [(i, f"the {'the ' * (i % 4)}thing w{i % 5} walking") for i in range(40)] + [(200, "the unseenword"), (201, "the thing")]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    counts = Counter(w for d, t in docs if not held(d) for w in t.split())
+    n_docs = sum(not held(d) for d, _ in docs)
+    tokens = sum(counts.values())
+    want = lm.Lattice.from_vocabulary(lm.VOCABULARY)
+    for _ in range(lm.EM_ROUNDS):
+        opening, going, byte = dict.fromkeys(want.opening, 0.0), dict.fromkeys(want.going, 0.0), [0.0] * 256
+        for w, c in counts.items():
+            for _ in range(c):
+                want.expected(w, opening, going, byte)
+        uses = [("open", p, u) for p, u in opening.items()] + [("go", p, u) for p, u in going.items()]
+        want = want.refined(uses + [("byte", str(b), u) for b, u in enumerate(byte)], tokens)
+    more, end = math.log(tokens / (tokens + n_docs)), math.log(n_docs / (tokens + n_docs))
+    for r in lm.score_texts(spark.createDataFrame(docs, "doc_id bigint, text string"), chunk_bytes=300).collect():
+        lattice = sum(want.log_prob(w) + more for w in dict(docs)[r.doc_id].split()) + end
+        assert r.score == pytest.approx(lattice / math.log(10))
+
+
+def test_training_texts_without_words(spark):
+    only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    got = lm.score_texts(spark.createDataFrame([(only, "some text"), (only + 1000, ""), (None, " ")], "doc_id bigint, text string")).collect()
+    assert all(math.isfinite(r.score) for r in got)
