@@ -4,9 +4,11 @@ A window is as long as a benchmark item. Its place is set by a shared five-word
 near the item's start: windows at similarity 0.75 share all but a seventh of the item's
 shingles, so one of the first ``slack`` shingles is always among the shared ones, and
 windows a few words to either side are taken as well. Windows and items of one length are then
-matched by 64-bit SimHash of their words: with ``RADIUS`` + 1 bit blocks, two
-fingerprints within the radius agree on at least one block. What is found is verified by
-the exact similarity of shingles weighted by how often they occur.
+compared by 64-bit SimHash of their words, each repetition a word of its own: a window at
+similarity 0.75 shares six sevenths of the item's words, and its fingerprint is further
+away than ``RADIUS`` in less than one of 10,000 cases. A radius that wide leaves bit blocks
+too short to tell fingerprints apart, so all of one length are compared. What is found
+is verified by the exact similarity of shingles weighted by how often they occur.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from slotwatch.operators.sizing import join_small
 
 SHINGLE = 5
 SIMILAR = 0.75
-RADIUS = 15
+RADIUS = 22
 SHIFTS = 2  # words to either side of the place the shared shingle gives
 BITS = 64
 
@@ -35,6 +37,13 @@ def _gram_hashes(w: Column, k: int) -> Column:
     return F.when(F.size(w) >= k, grams)
 
 
+def _numbered(items: Column) -> Column:
+    """Each item with its number of occurrence."""
+    return F.transform(
+        items, lambda g, i: F.concat_ws("#", g, F.size(F.filter(F.slice(items, 1, i + 1), lambda x: x == g)))
+    )
+
+
 def weighted_shingles(w: Column) -> Column:
     """Five-word shingles, each with its number of occurrence, so that sets of them compare as
     weighted sets do; fewer words are one shingle, no words none."""
@@ -42,9 +51,7 @@ def weighted_shingles(w: Column) -> Column:
         F.size(w) > SHINGLE,
         F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")),
     ).otherwise(F.array(F.array_join(w, " ")))
-    return F.transform(
-        grams, lambda g, i: F.concat_ws("#", g, F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)))
-    )
+    return _numbered(grams)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -53,8 +60,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def simhash(rows: DataFrame, keys: list[str], w: str) -> DataFrame:
-    """``keys`` plus ``fp``: each bit by the majority of the hashes of all words in ``w``."""
-    bits = rows.select(*keys, F.explode(w).alias("_w")).withColumn("_h", F.xxhash64("_w"))
+    """``keys`` plus ``fp``: each bit by the majority of the hashes of all words in ``w``, repeated ones numbered."""
+    bits = rows.select(*keys, F.explode(_numbered(F.col(w))).alias("_w")).withColumn("_h", F.xxhash64("_w"))
     one = F.lit(1).cast("bigint")
     votes = bits.groupBy(*keys).agg(
         *[F.sum(F.shiftright("_h", b).bitwiseAND(one) * 2 - 1).alias(f"_b{b}") for b in range(BITS)]
@@ -65,21 +72,6 @@ def simhash(rows: DataFrame, keys: list[str], w: str) -> DataFrame:
     return votes.select(*keys, fp.alias("fp"))
 
 
-def blocks(fp: str) -> Column:
-    """``array<struct<block, value>>``: ``RADIUS`` + 1 disjoint runs of bits covering the fingerprint."""
-    n = RADIUS + 1
-    cut = [BITS * i // n for i in range(n + 1)]
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("block"),
-                F.shiftrightunsigned(fp, cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1).cast("bigint")).alias("value"),
-            )
-            for i in range(n)
-        ]
-    )
-
-
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``[doc_id, h, item_id, start, n, similarity]``: all windows that are similar to an item, ``h``
     being a hash of the document's text."""
@@ -126,13 +118,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         "bench-cut",
     )
     ids = ["_k", "h", "start", "n"]
-    prints = simhash(cut, ids, "w").select(*ids, "fp", F.inline(blocks("fp")))
-    index = simhash(item, ["item_id", "n"], "w").select("item_id", "n", F.col("fp").alias("item_fp"), F.inline(blocks("fp")))
+    index = simhash(item, ["item_id", "n"], "w").withColumnRenamed("fp", "item_fp")
     pairs = (
-        join_small(prints, stage(index, "bench-index"), ["n", "block", "value"])
+        join_small(simhash(cut, ids, "w"), stage(index, "bench-index"), ["n"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
         .select(*ids, "item_id")
-        .distinct()
     )
     shingled = stage(item.select("item_id", "n", weighted_shingles(F.col("w")).alias("item_shingles")), "bench-shingles")
     both = join_small(pairs.join(cut, ids), shingled, ["item_id", "n"])

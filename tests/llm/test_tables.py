@@ -195,3 +195,22 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in bad)
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_decontamination_near_the_limit(spark):
+    import random
+
+    rng = random.Random(75)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    items, docs = [], []
+    # Words at the end replaced up to the limit: similarities 0.754 and 0.756, the last word repeated or not.
+    for k in range(400):
+        n, cut = ((54, 7), (40, 5))[k % 2]
+        head = [word() for _ in range(n - cut)]
+        tail = [word()] * cut if k % 4 > 1 else [word() for _ in range(cut)]
+        items.append((k, " ".join(head + tail)))
+        docs.append((k, " ".join([word() for _ in range(9)] + head + [word() for _ in range(cut + 9)])))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert all(r.doc_id == r.item_id and 0.75 <= r.similarity < 0.8 for r in got)
+    assert len(got) >= 0.995 * len(docs)
