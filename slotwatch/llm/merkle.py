@@ -44,14 +44,28 @@ def fingerprint(tree_: Column) -> Column:
     return F.concat(root(tree_), F.lit("|"), _written(tree_, short))
 
 
-def leaf_set(tree_: Column) -> Column:
-    """The distinct leaves as a fingerprint shows them."""
+def all_leaves(tree_: Column) -> Column:
+    """The leaves as a fingerprint shows them, in order."""
     low = F.lit((1 << 4 * LEAF_HEX) - 1).cast("bigint")
-    return F.array_distinct(F.transform(F.flatten(F.flatten(tree_)), lambda x: x.bitwiseAND(low)))
+    return F.transform(F.flatten(F.flatten(tree_)), lambda x: x.bitwiseAND(low))
+
+
+def numbered(leaves: Column) -> Column:
+    """A hash of each leaf and its number of occurrence, so that sets of them compare as all leaves do."""
+    # Arrays of one element bind what is used for every leaf, so that it is computed once.
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    opens = lambda s: F.filter(
+        F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull()
+    )
+    run = lambda s, at, end: F.transform(F.sequence(at, end - 1), lambda i: F.xxhash64(F.get(s, at), i - at))
+    runs = lambda s: bound(
+        opens(s), lambda o: F.flatten(F.transform(o, lambda at, j: run(s, at, F.coalesce(F.get(o, j + 1), F.size(s)))))
+    )
+    return bound(F.array_sort(leaves), runs)
 
 
 def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
-    """1 for equal roots, else the Dice share of common leaves."""
+    """1 for equal roots, else the Dice share of common leaves: distinct ones or, if numbered, all."""
     both = F.size(leaves_a) + F.size(leaves_b)
     dice = 2.0 * F.size(F.array_intersect(leaves_a, leaves_b)) / both
     return F.when(root_a == root_b, 1.0).when(both == 0, 0.0).otherwise(dice)
@@ -106,7 +120,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.substr("text", F.lit(1), F.col("want").cast("int")).alias("next_start"),
         root(t).alias("next_root"),
-        leaf_set(t).alias("next_leaves"),
+        all_leaves(t).alias("next_leaves"),
     )
     # Both joins take the same columns of the texts, so that one shuffle of them serves both.
     return texts.join(sent, ["k", "h"]).withColumn("n_chars", F.length("text").cast("bigint"))
@@ -123,18 +137,21 @@ def op7_merkle(spark, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("t")).alias("fingerprint"),
         fingerprint(F.col("e")).alias("edited_fingerprint"),
-        leaf_set(F.col("t")).alias("l"),
-        leaf_set(F.col("e")).alias("el"),
+        all_leaves(F.col("t")).alias("l"),
+        all_leaves(F.col("e")).alias("el"),
         "next_root",
         "next_leaves",
     )
     root_of = lambda c: F.substring_index(c, "|", 1)
+    shares = lambda of, leaves, root_b: likeness(root_of("fingerprint"), of(F.col("l")), root_b, of(F.col(leaves)))
     return printed.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness(root_of("fingerprint"), F.col("l"), root_of("edited_fingerprint"), F.col("el")).alias("near_edited"),
-        likeness(root_of("fingerprint"), F.col("l"), F.col("next_root"), F.col("next_leaves")).alias("near_next"),
+        shares(F.array_distinct, "el", root_of("edited_fingerprint")).alias("near_edited"),
+        shares(F.array_distinct, "next_leaves", F.col("next_root")).alias("near_next"),
+        shares(numbered, "el", root_of("edited_fingerprint")).alias("near_edited_all"),
+        shares(numbered, "next_leaves", F.col("next_root")).alias("near_next_all"),
     )

@@ -75,3 +75,23 @@ def test_changed_sections_locate_an_edit(spark):
     row = spark.createDataFrame([("one\n\ntwo. three\n\nfour", "one\n\ntwo. thre\n\nfour")], "a string, b string")
     got = row.select(merkle.changed_sections(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("c")).first()
     assert got.c == [1]
+
+
+def test_repeated_leaves_count_each(spark, tmp_path):
+    from collections import Counter
+
+    rng = random.Random(5)
+    line = lambda: rng.choice(["Read more.", "Share this", "Next page", f"one {rng.randrange(99)}", ""]) + "\n"
+    texts = ["".join(line() for _ in range(rng.randint(0, 80))) for _ in range(20)] + ["x. " * 400 + "end", "", "a\n" * 300]
+    got = run(spark, tmp_path, [(i, t, 1) for i, t in enumerate(texts)])
+
+    def like_all(a, b):
+        x, y = (Counter(x for s in plain_tree(t) for p in s for x in p) for t in (a, b))
+        both = x.total() + y.total()
+        return 1.0 if a == b else 2.0 * (x & y).total() / both if both else 0.0
+
+    for i, text in enumerate(texts):
+        after, n = texts[(i + 1) % len(texts)], len(text)
+        edited = text[: n - n // 2] + after[: n // 2]
+        r = got[(i, n)]
+        assert (r.near_edited_all, r.near_next_all) == (like_all(text, edited), like_all(text, after))
