@@ -10,6 +10,7 @@ from slotwatch.llm.merkle import op7_merkle
 from slotwatch.llm.mixing import OP1_SQL, op1_pareto_mix
 from slotwatch.llm.near_dups import op8_near_dups
 from slotwatch.llm.pii import op2_pii_spans
+from slotwatch.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from slotwatch.llm.toxicity import op6_toxicity
 from slotwatch.llm.warc import OP4_SQL, op4_warc_index
 
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_near_dups": op8_near_dups,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_windows": op10_chat_windows,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op1_pareto_mix": OP1_SQL,
     "op4_warc_index": OP4_SQL,
     "op10_chat_windows": OP10_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
