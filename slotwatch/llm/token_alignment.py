@@ -14,10 +14,11 @@ slice of segments whatever the length of a text.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from slotwatch.llm.common import stage, table
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = 1 << 15  # code points after which a text is cut at the next safe space
-SLICE = 1 << 20  # code points that are encoded together
+SLICE = 1 << 18  # code points that are encoded together
 COMMON_PAIRS = 1 << 19  # at most so many pairs are broadcast with their counts, the commonest; others are joined
+# Fixed value: how a byte-level vocabulary's texts are parted before merging.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAFE_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
@@ -55,6 +58,7 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         code = byte_level()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_fast = self._ranked(a_path, code)
         self.n_a, self.n_b = max(vocabulary.values()) + 1, self.b.get_piece_size()
         self.a_bytes = [b""] * self.n_a
         for token, i in vocabulary.items():
@@ -67,9 +71,29 @@ class Pair:
         # Number 2 * id is the id and a comma; odd numbers close a group's first or second half.
         self.names = [f"{i}{s}" for n, close in ((self.n_a, "|"), (self.n_b, ";")) for i in range(n) for s in (",", close)]
 
+    @staticmethod
+    def _ranked(a_path: str, code: dict[str, int]):
+        """The same vocabulary by rank, which encodes four times as fast, where its file allows it:
+        plain byte-level merges whose order is that of the ids. None otherwise."""
+        import tiktoken
+
+        with open(a_path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, words = spec["model"], spec["pre_tokenizer"]
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        plain = words == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": words.get("trim_offsets"), "use_regex": True}
+        if not plain or spec["normalizer"] or model.get("ignore_merges") or any(model["vocab"][t] != 256 + i for i, t in enumerate(merged)):
+            return None
+        ranks = {bytes(code[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merged)}
+        return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+
     def encoded(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of segments, each of which opens with a space (which the second tokenizer adds itself)."""
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+        # The fast form needs stack for long runs of one kind: uncut long segments go the plain way.
+        a = [
+            self.a_fast.encode_ordinary(s) if self.a_fast and len(s) <= 2 * SEGMENT else self.a.encode_batch_fast([s], add_special_tokens=False)[0].ids
+            for s in segments
+        ]
         return a, self.b.encode([s[1:] for s in segments], num_threads=1)
 
     def exact(self, segment: str, a: list[int], b: list[int]) -> bool:
@@ -165,40 +189,56 @@ def _slices(texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[int]]
         yield run, of
 
 
+@dataclass
+class Row:
+    n_a: int = 0
+    n_b: int = 0
+    groups: list[str] = field(default_factory=list)
+    links: list[np.ndarray] = field(default_factory=list)
+    broken: bool = False
+
+    def add(self, got: Aligned | None) -> None:
+        if got is None or self.broken:
+            self.__init__(broken=True)
+        else:
+            self.n_a += got.n_a
+            self.n_b += got.n_b
+            self.groups.append(got.groups)
+            self.links.append(got.links)
+
+
+def _rows(doc_ids: pa.Array, rows: list[Row]) -> pa.RecordBatch:
+    links = [np.sort(np.concatenate(r.links)) if r.links else np.zeros(0, np.int64) for r in rows]
+    sizes = [len(x) for x in links]
+    return pa.RecordBatch.from_pydict(
+        {
+            "doc_id": doc_ids,
+            "n_a": pa.array([r.n_a for r in rows], pa.int64()),
+            "n_b": pa.array([r.n_b for r in rows], pa.int64()),
+            "n_groups": pa.array(sizes, pa.int64()),
+            "groups": pa.array(["".join(r.groups)[:-1] for r in rows], pa.string()),
+            "links": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(links))),
+        }
+    )
+
+
 def _align(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(a_path, b_path)
         for batch in batches:
-            n = batch.num_rows
-            n_a, n_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            groups: list[list[str]] = [[] for _ in range(n)]
-            links: list[list[np.ndarray]] = [[] for _ in range(n)]
-            broken = set()
-            for run_, of in _slices(t.as_py() for t in batch.column("text")):
-                for i, got in zip(of, aligned(pair, run_)):
-                    if got is None:
-                        broken.add(i)
-                    elif i not in broken:
-                        n_a[i] += got.n_a
-                        n_b[i] += got.n_b
-                        groups[i].append(got.groups)
-                        links[i].append(got.links)
-            for i in broken:
-                n_a[i] = n_b[i] = 0
-                groups[i], links[i] = [], []
-            none = np.zeros(0, np.int64)
-            sizes = [sum(map(len, x)) for x in links]
-            flat = np.concatenate([none, *[y for x in links for y in x]])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_a": pa.array(n_a),
-                    "n_b": pa.array(n_b),
-                    "n_groups": pa.array(sizes, pa.int64()),
-                    "groups": pa.array(["".join(g)[:-1] for g in groups], pa.string()),
-                    "links": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat)),
-                }
-            )
+            doc_ids, done = batch.column("doc_id"), 0
+            rows: list[Row] = []  # texts from number ``done`` on; the last may have more segments to come
+            for segments, of in _slices(t.as_py() for t in batch.column("text")):
+                for i, got in zip(of, aligned(pair, segments)):
+                    rows += [Row() for _ in range(i + 1 - done - len(rows))]
+                    rows[-1].add(got)
+                *ready, open_ = rows
+                if ready:
+                    yield _rows(doc_ids.slice(done, len(ready)), ready)
+                rows, done = [open_], done + len(ready)
+            rows += [Row() for _ in range(batch.num_rows - done - len(rows))]
+            if rows:
+                yield _rows(doc_ids.slice(done, len(rows)), rows)
 
     return run
 
@@ -207,7 +247,7 @@ def align(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE) -> D
     """``[doc_id, n_a, n_b, n_groups, groups, links]`` for every row of ``docs`` (doc_id, text).
 
     ``groups`` has each group's ids of both tokenizers as ``a1,a2|b1;a3|b2,b3``; ``links`` has, for every
-    pair of tokens that end together, its number (first id times the size of the second vocabulary plus second id).
+    pair of tokens that end together and in ascending order, its number (first id times the size of the second vocabulary plus second id).
     Tokens are never empty, so a group has one link. Null and empty texts, and texts
     that one of the tokenizers does not give back byte for byte, have no tokens: zeros and an empty ``groups``.
     Special tokens' strings are plain text. Repeated rows are aligned each, other
@@ -260,7 +300,7 @@ def link_figures(rows: DataFrame, n_b: int, common: int = COMMON_PAIRS) -> DataF
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
     rows = align(table(spark, sf_dir, "documents"))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    rows = rows.select("doc_id", "n_a", "n_b", "n_groups", F.array_sort("links").alias("links"), digest.alias("groups_sha256"))
+    rows = rows.select("doc_id", "n_a", "n_b", "n_groups", "links", digest.alias("groups_sha256"))
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "align-rows")
     figures = link_figures(rows.select("rid", "links"), second_size())
     zero = F.lit(0).cast("bigint")

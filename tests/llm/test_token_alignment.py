@@ -138,6 +138,17 @@ def test_long_text_is_cut(tools):
     assert [int(x) for g in flat for x in g[0].split(",")] == a and [int(x) for g in flat for x in g[1].split(",")] == b
 
 
+def test_both_forms_of_the_first_tokenizer_agree():
+    pair = A.pair_of(A.BYTE_BPE, A.PIECE_BPE)
+    assert pair.a_fast is not None
+    rng = random.Random(8)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f" a{c}{c}b {c} 1{c}!{c}  {c}\n{c}" for c in map(chr, rng.sample(points, 30_000))]
+    texts += [f" {c}" + c * (2 * A.SEGMENT - 2) for c in " x\n1!"]
+    plain = [e.ids for e in pair.a.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [pair.a_fast.encode_ordinary(t) for t in texts] == plain
+
+
 def test_empty_table(spark, tmp_path):
     assert query(spark, [], tmp_path) == []
     again = tmp_path / "nulls"
