@@ -11,6 +11,7 @@ from slotwatch.llm.mixing import OP1_SQL, op1_pareto_mix
 from slotwatch.llm.near_dups import op8_near_dups
 from slotwatch.llm.pii import op2_pii_spans
 from slotwatch.llm.prefix_trie import OP13_SQL, op13_prefix_trie
+from slotwatch.llm.secrets_crf import op12_secrets_crf
 from slotwatch.llm.token_alignment import op11_token_alignment
 from slotwatch.llm.toxicity import op6_toxicity
 from slotwatch.llm.warc import OP4_SQL, op4_warc_index
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_windows": op10_chat_windows,
     "op11_token_alignment": op11_token_alignment,
+    "op12_secrets_crf": op12_secrets_crf,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL = {
