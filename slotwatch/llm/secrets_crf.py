@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwatch.llm import hashing
-from slotwatch.llm.common import table, text_of
+from slotwatch.llm.common import stage, table
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -33,7 +33,9 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 KINDS = ("assign", "access", "hex", "crf")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
-SAMPLE_ROWS = 1000  # at most so many texts are read to train, half of them with a base match
+SAMPLE_ROWS = 600  # at most twice as many windows are trained on
+DRAWN = 64  # texts that are searched for secrets to train on, as a multiple of it
+LEAST_WINDOWS = 300
 WINDOW = 64  # tokens of a training window
 EPOCHS, RATE, DECAY = 30, 0.25, 2e-3
 BLOCK = 256  # tokens of a Viterbi block
@@ -265,31 +267,33 @@ def _planted(rng: random.Random, words: list[str]) -> tuple[str, list[tuple[int,
     return f"{before}{value}{quote} {' '.join(words[at:])}", [(len(before), len(before) + len(value))]
 
 
-def training_windows(texts: list[str], seed: int = 5) -> list[tuple[str, list[tuple[int, int]], tuple[int, int]]]:
-    """``(window, secret spans, file features)``: around found secrets, at a drawn place, and with a planted secret."""
-    rng = random.Random(seed)
-    out = []
-    for text in texts or [""]:
-        file = file_features(text.encode())
-        found = secret_values(text)
-        centre = rng.choice(found)[0] if found else rng.randrange(max(len(text), 1))
-        lo = max(0, centre - 4 * WINDOW)
-        window = text[lo : centre + 4 * WINDOW]
-        # What is cut by the window's edge is no token of it.
-        lead = len(window) - len(window.lstrip()) if not lo else len(re.match(r"\S*", window).group())
-        window = window[lead:]
-        inside = [(a - lo - lead, b - lo - lead) for a, b in found if a >= lo + lead and b <= lo + lead + len(window)]
-        if found or rng.random() < 0.5:
-            out.append((window, inside, file))
-        if not inside or rng.random() < 0.3:
-            out.append((*_planted(rng, window.split()[: WINDOW // 2] if not inside else []), file))
-    return out
+Window = tuple[str, list[tuple[int, int]], tuple[int, int]]  # text, secret spans, file features
 
 
-def fit_texts(texts: list[str], epochs: int = EPOCHS) -> Field:
-    """A field trained on windows of ``texts`` by gradient steps of adapted size."""
-    windows = training_windows(texts)
-    windows = windows * max(1, 40 // len(windows))
+def training_windows(text: str, seed: int) -> list[Window]:
+    """Windows of one text: around a found secret or at a drawn place, and one with a planted secret."""
+    rng = random.Random(seed)
+    file = file_features(text.encode())
+    found = secret_values(text)
+    centre = rng.choice(found)[0] if found else rng.randrange(max(len(text), 1))
+    lo = max(0, centre - 4 * WINDOW)
+    window = text[lo : centre + 4 * WINDOW]
+    # What is cut by the window's edge is no token of it.
+    lead = len(window) - len(window.lstrip()) if not lo else len(re.match(r"\S*", window).group())
+    window = window[lead:]
+    inside = [(a - lo - lead, b - lo - lead) for a, b in found if a >= lo + lead and b <= lo + lead + len(window)]
+    return [(window, inside, file), (*_planted(rng, window.split()[: WINDOW // 2] if not inside else []), file)]
+
+
+def fit_windows(windows: list[Window], epochs: int = EPOCHS) -> Field:
+    """A field trained by gradient steps of adapted size. Fewer than LEAST_WINDOWS are filled up
+    with secrets planted into them, so a small table trains a usable field too."""
+    rng = random.Random(6)
+    windows = list(windows)
+    given = windows or [("", [], (0, 0))]
+    while len(windows) < LEAST_WINDOWS:
+        text, spans, file = given[len(windows) % len(given)]
+        windows.append((*_planted(rng, text.split()[: WINDOW // 2] if not spans else []), file))
     raw = [w.encode() for w, _, _ in windows]
     t = tokens_of(raw, [f for _, _, f in windows])
     first = np.cumsum([1, *[len(r) + 1 for r in raw]])
@@ -324,20 +328,38 @@ def fit_texts(texts: list[str], epochs: int = EPOCHS) -> Field:
     return field
 
 
-def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most ``rows`` texts, half of them with an assigned secret or an access key, by a hash of the text; windows of long ones."""
-    text = text_of()
-    hot = text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}")
-    key = F.xxhash64(text)
-    picked = []
-    for part in (hot, ~hot):
-        some = docs.select(text.alias("text"), key.alias("k")).where(part).where(F.length("text") < PIECE)
-        picked += [r.text for r in some.orderBy("k", "text").limit(rows // 2).collect()]
-    return picked
+def fit_texts(texts: list[str]) -> Field:
+    return fit_windows([w for i, t in enumerate(texts) for w in training_windows(t, i)])
+
+
+def _windows(rare: int):
+    """Training windows of drawn texts; of those without a secret only the lowest hashes are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column("k").to_pylist(), batch.column("text")):
+                text = text.as_py()
+                hot = bool(secret_values(text))
+                if key < rare or hot:
+                    for n, (window, spans, file) in enumerate(training_windows(text, key)):
+                        out.append({"hot": hot, "k": key, "n": n, "window": window, "spans": [x for s in spans for x in s], "file": list(file)})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("hot", pa.bool_()), ("k", pa.int64()), ("n", pa.int64()), ("window", pa.string()), ("spans", pa.list_(pa.int64())), ("file", pa.list_(pa.int64()))]))
+
+    return run
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
-    return fit_texts(sample_of(docs, rows))
+    """A field trained on a bounded sample: about DRAWN times ``rows`` texts are drawn by hash, those of them with a secret
+    and about half of ``rows`` without one give windows, and at most 2 * ``rows`` windows come to the driver."""
+    key = F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))
+    share = min(1.0, DRAWN * rows / max(docs.count(), 1))
+    drawn = docs.select(key.alias("k"), "text").where("text is not null").where(F.col("k") < int(share * (1 << 40)))
+    rare = int(share * (1 << 40) / (2 * DRAWN)) if share < 1 else 1 << 40
+    kept = drawn.mapInArrow(_windows(rare), "hot boolean, k bigint, n bigint, window string, spans array<bigint>, file array<bigint>")
+    kept = stage(kept.dropDuplicates(["k", "n"]), "secret-windows")
+    found = [r for part in (F.col("hot"), ~F.col("hot")) for r in kept.where(part).orderBy("k", "n").limit(rows).collect()]
+    return fit_windows([(r.window, list(zip(r.spans[::2], r.spans[1::2])), (r.file[0], r.file[1])) for r in found])
 
 
 def _pieces(text: bytes) -> Iterator[tuple[int, int, int, int]]:
