@@ -635,6 +635,9 @@ def statements() -> dict[str, str]:
         "slot_filter_vskip_or_cskip": view + "SELECT * FROM vw WHERE status_label IN ('VSKIP', 'CSKIP')",
         "slot_filter_leader_fast": view + "SELECT * FROM vw WHERE we_are_leader AND status = 'fast'",
         "slot_filter_tcl_vskip": view + "SELECT * FROM vw WHERE crashed_leader AND status_label = 'VSKIP'",
+        "slot_filter_slow": view + "SELECT * FROM vw WHERE status = 'slow'",
+        "slot_filter_s2n_s2s": view + "SELECT * FROM vw WHERE safe_to_notar AND safe_to_skip",
+        "slot_filter_slow_s2n_s2s": view + "SELECT * FROM vw WHERE status = 'slow' AND safe_to_notar AND safe_to_skip",
         "slot_page": view + "SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY slot) AS place FROM vw QUALIFY place BETWEEN 101 AND 150",
         "incident_page": every + "SELECT log_id, tcl_slot, resume_slot, resume_us, slot_gap, severity, row_number() OVER (PARTITION BY log_id ORDER BY resume_us DESC, tcl_slot) AS place FROM resumes QUALIFY place BETWEEN 3 AND 12",
         "standstill_ranges": every + "SELECT log_id, entry_slot, exit_slot, seq FROM ranges",
@@ -723,5 +726,10 @@ def statements() -> dict[str, str]:
         "log_files": ev + "SELECT log_id, 3::BIGINT AS n_files, n_events + n_issues + n_cont + n_bad + n_ignored AS line_count FROM line_counts",
         "stream_parse": ev + "SELECT * FROM (SELECT log_id, unnest(['event', 'issue', 'continuation', 'parse_error', 'ignored']) AS outcome, unnest([n_events, n_issues, n_cont, n_bad, n_ignored]) AS n FROM line_counts) WHERE n > 0",
         "stream_counters": ev + "SELECT log_id, kind, ts_ns // 1000000000 // 600 * 600 AS start_secs, count(*) AS n FROM ev GROUP BY ALL",
+        "stream_standstill": every + """
+            SELECT log_id, 'range' AS what, entry_slot AS slot, exit_slot AS slot_end, seq,
+                   CAST(NULL AS BIGINT) AS firings, CAST(NULL AS BIGINT) AS first_ns, CAST(NULL AS BIGINT) AS last_ns FROM ranges
+            UNION ALL SELECT log_id, 'firing', slot, NULL, NULL, firings, first_ns, last_ns FROM firings""",
+        "stream_issues": every + "SELECT * FROM groups",
         "stream_slots": every + f"SELECT {_SLOT_COLS.replace(', skip_classification', '')} FROM slots",
     }

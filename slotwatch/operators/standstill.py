@@ -23,25 +23,34 @@ def standstill_firings(parsed: DataFrame) -> DataFrame:
     )
 
 
-def standstill_ranges(parsed: DataFrame, slots: DataFrame) -> DataFrame:
+def standstill_ranges(parsed: DataFrame, slots: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
     """Inclusive slot ranges: one per ended period, plus one left open at the log's end.
 
-    The open period starts at the first extending event after the last ended one and is
-    closed at the highest slot seen (its own ``seq`` is NULL).
+    ``sized_by`` is a stored table with a row per log, if there is one.
     """
-    ended = F.col("kind") == "StandstillEnded"
-    closed = parsed.where(ended).select(
+    closed = parsed.where(F.col("kind") == "StandstillEnded").select(
         "log_id", F.col("slot").alias("entry_slot"), F.col("slot_end").alias("exit_slot"), "seq"
     )
-    last_end = parsed.where(ended).groupBy("log_id").agg(F.max("seq").alias("_ended"))
     extending = parsed.where(F.col("kind") == "StandstillExtending").select("log_id", "seq", "slot")
+    top = slots.groupBy("log_id").agg(F.max("slot").alias("_top"))
+    return open_and_closed(closed, extending, top, sized_by)
+
+
+def open_and_closed(
+    closed: DataFrame, extending: DataFrame, top: DataFrame, sized_by: DataFrame | None = None
+) -> DataFrame:
+    """The ended periods and, per log, the one still open.
+
+    The open period starts at the first extending event after the last ended one and is
+    closed at the highest slot seen (its own ``seq`` is NULL).
+    """
+    last_end = closed.groupBy("log_id").agg(F.max("seq").alias("_ended"))
     entry = (
-        join_small(extending, last_end, ["log_id"], "left")
+        join_small(extending, last_end, ["log_id"], "left", sized_by=sized_by)
         .where(F.col("seq") > F.coalesce("_ended", F.lit(-1)))
         .groupBy("log_id")
         .agg(F.min_by("slot", "seq").alias("entry_slot"))
     )
-    top = slots.groupBy("log_id").agg(F.max("slot").alias("_top"))
     still_open = entry.join(top, "log_id", "left").select(
         "log_id",
         "entry_slot",

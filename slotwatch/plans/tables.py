@@ -84,7 +84,7 @@ class LogTables:
 
     @cached_property
     def ranges(self) -> DataFrame:
-        return self._stage("standstill_ranges", standstill.standstill_ranges(self.events, self.slots))
+        return self._stage("standstill_ranges", standstill.standstill_ranges(self.events, self.slots, self.meta))
 
     @cached_property
     def issue_groups(self) -> DataFrame:

@@ -10,7 +10,7 @@ from slotwatch.operators.parse import PAYLOAD, parse_lines
 from slotwatch.session import fresh_path, prepare
 from slotwatch.sources.fixture_log import EVENT_COLUMNS, FIRST_SLOT, fixture_log, render
 from slotwatch.sources.lines import file_meta, read_log_lines
-from slotwatch.streaming import jobs
+from slotwatch.streaming import jobs, live
 
 
 def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,3 +104,33 @@ def streamed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(prepare(spark), "stream-slots")
     jobs.stream_slots(_line_stream(spark, sf_dir), f"{out}/data", f"{out}/state").awaitTermination()
     return jobs.read_slots(spark, f"{out}/data")
+
+
+def _shuffled_stream(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """The rendered log as a stream of several batches, each with lines from all over the log."""
+    out = fresh_path(prepare(spark), "stream-lines")
+    lines = fixture_log(spark, sf_dir).select("log_id", "seq", "line")
+    lines.withColumn("_file", F.pmod(F.xxhash64("log_id", "seq"), F.lit(batches))).repartitionByRange(batches, "_file").drop("_file").write.parquet(out)
+    return spark.readStream.schema("log_id string, seq bigint, line string").option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def streamed_standstill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods and firings as of the last batch, after a compaction."""
+    out = fresh_path(prepare(spark), "stream-standstill")
+    live.stream_standstill(_shuffled_stream(spark, sf_dir), f"{out}/data", f"{out}/state").awaitTermination()
+    live.compact_standstill(spark, f"{out}/data")
+    none = F.lit(None).cast("bigint")
+    ranges = live.read_standstill_ranges(spark, f"{out}/data").select(
+        "log_id", F.lit("range").alias("what"), F.col("entry_slot").alias("slot"), F.col("exit_slot").alias("slot_end"), "seq",
+        none.alias("firings"), none.alias("first_ns"), none.alias("last_ns"),
+    )
+    firings = live.read_standstill_alerts(spark, f"{out}/data").select(
+        "log_id", F.lit("firing").alias("what"), "slot", none.alias("slot_end"), none.alias("seq"), "firings", "first_ns", "last_ns"
+    )
+    return ranges.unionByName(firings)
+
+
+def streamed_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fresh_path(prepare(spark), "stream-issues")
+    live.stream_issues(_shuffled_stream(spark, sf_dir), f"{out}/data", f"{out}/state").awaitTermination()
+    return live.read_issues(spark, f"{out}/data")

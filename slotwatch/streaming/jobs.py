@@ -100,7 +100,7 @@ def read_counters(spark: SparkSession, out: str) -> DataFrame:
 
 def compact_counters(spark: SparkSession, out: str) -> None:
     """Add up all finished batches in place; the stream may go on meanwhile."""
-    _compact(spark, out, _added)
+    compact_parts(spark, out, _added)
 
 
 def stream_slots(lines: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -132,7 +132,7 @@ def read_slots(spark: SparkSession, out: str) -> DataFrame:
 def compact_slots(spark: SparkSession, out: str, target: str | None = None) -> None:
     """Merge all parts into one: in place, while the stream goes on, or as a copy in ``target``."""
     if target is None:
-        _compact(spark, out, merge_slots)
+        compact_parts(spark, out, merge_slots)
     else:
         merge_slots(read_parts(spark, out)).write.mode("overwrite").parquet(f"{target}/batch=0")
 
@@ -160,10 +160,15 @@ def read_parts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(*_live(spark, out)[1])
 
 
-def _compact(spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFrame]) -> None:
-    # The merged folder counts from the moment its success marker is there; only then
-    # do the batches in it go. A batch that is retried later is one it holds already.
-    batches = _folders(spark, out, "batch")
+def compact_parts(spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Merge all finished batches into one folder, in place.
+
+    The merged folder counts from the moment its success marker is there. What it
+    replaces is kept until the next compaction, so a reader that listed the folders
+    before still finds every file; only what the compaction before had replaced goes now.
+    A batch that is retried later is one the merged folder holds already.
+    """
+    batches, merged = _folders(spark, out, "batch"), _folders(spark, f"{out}/_compact", "upto")
     upto, paths = _live(spark, out)
     last = max(batches, default=-1)
     if last <= upto:
@@ -171,6 +176,5 @@ def _compact(spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFra
     merge(spark.read.parquet(*paths)).write.mode("overwrite").parquet(f"{out}/_compact/upto={last}")
     place = spark._jvm.org.apache.hadoop.fs.Path
     fs = place(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    for n, path in {**batches, **{m: p for m, p in _folders(spark, f"{out}/_compact", "upto").items() if m < last}}.items():
-        if n <= last:
-            fs.delete(place(path), True)
+    for path in [p for n, p in batches.items() if n <= upto] + [p for n, p in merged.items() if n < upto]:
+        fs.delete(place(path), True)
