@@ -2,17 +2,20 @@
 
 Works on UTF-8 bytes: ``bytes.lower`` changes A-Z alone, and words end at the ASCII white
 space that no multi-byte character contains. Texts are taken in slices of ``SLICE``
-bytes, so memory stays bounded whatever the batch (one longer text is a slice alone).
+bytes, so memory stays bounded whatever the batch. One longer text is a slice alone; its words
+are hashed by runs of about ``SLICE`` bytes, so it takes some ten bytes a byte.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-SLICE = 1 << 21
+SLICE = 1 << 20
+LONG_WORD = 1 << 14  # bytes above which a word is hashed as a whole
 SHINGLE = 5
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -68,14 +71,25 @@ class Words:
     def hashes(self) -> np.ndarray:
         """One hash a word: the sum of its bytes' constants times powers of an odd base."""
         size = self.end - self.start
-        if not len(size):
-            return np.zeros(0, np.uint64)
+        out = np.zeros(len(size), np.uint64)
+        long = size > LONG_WORD
+        for i in np.flatnonzero(long):
+            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8).digest()
+            out[i] = np.frombuffer(digest, np.uint64)[0]
+        short = np.flatnonzero(~long)
+        run = np.cumsum(size[short]) // SLICE
+        for words in np.split(short, np.flatnonzero(np.diff(run)) + 1):
+            if len(words):
+                out[words] = self._summed(words, size[words])
+        return out
+
+    def _summed(self, words: np.ndarray, size: np.ndarray) -> np.ndarray:
         at = np.cumsum(size) - size
         place = np.arange(int(size.sum())) - np.repeat(at, size)
         powers = np.full(int(size.max()), 0x9FB21C651E98DF25, np.uint64)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
-        chars = self.data[np.repeat(self.start, size) + place]
+        chars = self.data[np.repeat(self.start[words], size) + place]
         return mixed(np.add.reduceat(_BYTES[chars] * powers[place], at) + size.astype(np.uint64))
 
 

@@ -8,9 +8,12 @@ make a shared key and is left out before keys are formed. Candidates are verifie
 classes linked by verified pairs form components.
 
 Within a table bucket classes are first compared with a centre, so a large group of copies
-costs about as many comparisons as it has members. Classes whose buckets still hold
-different components are then joined exactly, by their rarest shingles, so no pair that
-a table brings together is left undecided and near misses are not listed pair by pair.
+costs about as many comparisons as it has members. Where a bucket still holds different
+components, its members are put in the frame of the bucket's centre: each is compared with
+that centre and described by its differences from it, the shingles it lost or won. What two
+members have in common follows from how many differences they share, and two that are not both linked
+with the centre must share some. So the rest is decided by a join on differences, which near misses of
+one original hardly share, and no pair that a table brings together is left undecided.
 """
 
 from __future__ import annotations
@@ -111,46 +114,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("c").alias("b"), F.col("set").alias("sb")), "b").where(_linked("sa", "sb")).select("a", "b")
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle of each set."""
+FRAMED = "c bigint, comp bigint, f bigint, n bigint, nf bigint, o bigint, diff array<bigint>"
+
+
+def _in_frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each member: its size, its centre's, what both share, and the shingles that only one of them has."""
     for batch in batches:
-        for c, blob in zip(batch.column("c").to_pylist(), batch.column("set")):
-            s = np.frombuffer(blob.as_py(), np.int64)
-            yield pa.record_batch([pa.array(np.full(len(s), c, np.int64)), pa.array(s)], names=["c", "s"])
+        n, nf, o, diff = [], [], [], []
+        for mine, centre in zip(batch.column("set"), batch.column("fset")):
+            mine, centre = (np.frombuffer(x.as_py(), np.uint64) for x in (mine, centre))
+            apart = np.setxor1d(mine, centre, assume_unique=True)
+            n.append(len(mine))
+            nf.append(len(centre))
+            o.append((len(mine) + len(centre) - len(apart)) // 2)
+            diff.append(apart.view(np.int64))
+        values = [pa.array(x, pa.int64()) for x in (n, nf, o)]
+        yield pa.record_batch(
+            [*[batch.column(name) for name in ("c", "comp", "f")], *values, pa.array(diff, pa.list_(pa.int64()))],
+            names=["c", "comp", "f", "n", "nf", "o", "diff"],
+        )
 
 
-def _prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Every pair ``[a, b, shared]`` of ``classes`` ``[c, comp, n_shingles]`` in different components that may be linked.
+def _frame_pairs(members: DataFrame) -> DataFrame:
+    """Every pair ``[a, b, shared]`` of a frame's members in different components that may be linked.
 
-    Exact: with the shingles of each set in one order, rarest first, the first one that two
-    linked sets share is within the first quarter of both, and what follows it must suffice
-    for the overlap. Sets with many shingles of their own drop out at once. Of
-    classes that share such a shingle, those of its commonest component are not paired with each other.
+    ``members`` are ``[c, comp, f, n, nf, o, diff]``; those linked with the centre f have its component. Two
+    members x and y have ox + oy - nf shingles in common and one more for each difference from the centre that both
+    have, so they are linked if they share at least 3/7 (nx + ny) + nf - ox - oy differences. That is never less than
+    3/7 (nx + nf) - ox, which is above zero for an x not linked with the centre, and of two members in different components one is not. Of the
+    differences only the rarest are joined, as many as may hold the first common one. Classes of
+    a difference's commonest component are not paired with each other.
     """
-    n = F.col("n_shingles")
-    rows = sets.join(classes.select("c"), "c", "left_semi").select("c", "set").mapInArrow(_shingles, "c bigint, s bigint")
-    rows = stage(rows, "dups-shingles")
-    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rare_first = Window.partitionBy("c").orderBy("df", "s")
-    shared = rows.join(common, "s").withColumns(
-        {"_at": F.row_number().over(rare_first), "_shared": F.count(F.lit(1)).over(Window.partitionBy("c"))}
-    )
-    placed = shared.join(classes, "c").withColumn("at", n - F.col("_shared") + F.col("_at"))
-    prefix = stage(placed.where(F.col("at") <= n - F.floor((3 * n + 3) / 4) + 1).select("s", "c", "comp", n.alias("n"), "at"), "dups-prefix")
-    by_comp = prefix.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k"))
-    top = by_comp.groupBy("s").agg(F.max_by("comp", "k").alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("s", "top")
-    rows = stage(prefix.join(top, "s"), "dups-prefix-mixed")
-    a = rows.where("comp <> top").select("s", *[F.col(x).alias(f"{x}_a") for x in ("c", "comp", "n", "at")])
-    b = rows.select("s", "top", *[F.col(x).alias(f"{x}_b") for x in ("c", "comp", "n", "at")])
+    spread = members.groupBy("f").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("f")
+    mixed = stage(members.join(spread, "f").withColumn("d", F.size("diff").cast("bigint")), "dups-frames")
+    fields = ("c", "comp", "n", "nf", "o", "d")
+    rows = mixed.select("f", *fields, F.explode("diff").alias("s"))
+    common = rows.groupBy("f", "s").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    shared = rows.join(common.where("df > 1").select("f", "s", "df"), ["f", "s"])
+    rare_first, whole = Window.partitionBy("f", "c").orderBy("df", "s"), Window.partitionBy("f", "c")
+    shared = shared.withColumns({"_at": F.row_number().over(rare_first), "_kept": F.count(F.lit(1)).over(whole)})
+    shared = shared.withColumn("at", F.col("d") - F.col("_kept") + F.col("_at"))
+    needed = F.greatest(F.floor((3 * (F.col("n") + F.col("nf")) + 6) / 7) - F.col("o"), F.lit(1))
+    prefix = stage(shared.where(F.col("at") <= F.col("d") - needed + 1).select("f", "s", *fields, "at"), "dups-prefix")
+    by_comp = prefix.groupBy("f", "s", "comp").agg(F.count(F.lit(1)).alias("k"))
+    top = by_comp.groupBy("f", "s").agg(F.max_by("comp", "k").alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    met = stage(prefix.join(top, ["f", "s"]), "dups-prefix-mixed")
+    a = met.where("comp <> top").select("f", "s", *[F.col(x).alias(f"{x}_a") for x in (*fields, "at")])
+    b = met.select("f", "s", "top", *[F.col(x).alias(f"{x}_b") for x in (*fields, "at")])
     total = F.col("n_a") + F.col("n_b")
-    enough = 7 * (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) >= 3 * total
     sized = 100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")
+    most = 1 + F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b"))
+    enough = 7 * (most + F.col("o_a") + F.col("o_b") - F.col("nf_a")) >= 3 * total
     once = (F.col("comp_b") == F.col("top")) | (F.col("c_a") < F.col("c_b"))
-    met = a.alias("l").join(
+    found = a.alias("l").join(
         b.alias("r"),
-        (F.col("l.s") == F.col("r.s")) & (F.col("comp_a") != F.col("comp_b")) & once & sized & enough,
+        (F.col("l.f") == F.col("r.f")) & (F.col("l.s") == F.col("r.s")) & (F.col("comp_a") != F.col("comp_b")) & once & sized & enough,
     )
-    ends = met.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
+    ends = found.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
     return ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
@@ -236,12 +256,24 @@ def link(docs: DataFrame) -> DataFrame:
                 links, comps = joined(found)
 
     compared(stars, STAR_ROUNDS, rest=False)
-    member = met.select("key", "c").join(comps.select(F.col("node").alias("c"), "comp"), "c")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    apart = stage(member.join(mixed, "key").select("c", "comp").distinct(), "dups-apart")
-    if not apart.isEmpty():
-        pairs = _prefix_pairs(apart.join(involved.select("c", "n_shingles"), "c"), sets)
-        compared(stage(pairs, "dups-pairs"), STAR_ROUNDS, rest=True)
+    # What is still apart is decided within the frame of each mixed bucket's largest component.
+    linked_ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+    centre_of = comps.join(linked_ends, "node", "left").groupBy("comp").agg(
+        F.count(F.lit(1)).alias("size"), F.max_by("node", F.struct(F.coalesce("deg", F.lit(0)), "node")).alias("f")
+    )
+    placed = stage(comps.join(centre_of, "comp").select(F.col("node").alias("c"), "comp", "size", "f"), "dups-centres")
+    member = met.select("key", "c").join(placed, "c")
+    frames = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("size", "comp", "f")).alias("top"))
+    frames = frames.where("lo <> hi").select("key", F.col("top.f").alias("f"))
+    framed = stage(member.select("key", "c", "comp").join(frames, "key").select("c", "comp", "f").distinct(), "dups-framed")
+    if not framed.isEmpty():
+        both = framed.join(sets, "c").join(sets.select(F.col("c").alias("f"), F.col("set").alias("fset")), "f")
+        members = stage(both.select("c", "comp", "f", "set", "fset").mapInArrow(_in_frame, FRAMED), "dups-members")
+        to_centre = members.where("c <> f").where(7 * F.col("o") >= 3 * (F.col("n") + F.col("nf")))
+        found = to_centre.select(F.least("c", "f").alias("a"), F.greatest("c", "f").alias("b")).distinct()
+        links, comps = joined(found)
+        members = members.drop("comp").join(comps.select(F.col("node").alias("c"), "comp"), "c")
+        compared(stage(_frame_pairs(members), "dups-pairs"), STAR_ROUNDS, rest=True)
     named = classes.select("c", "rep").join(comps.select(F.col("node").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = stage(named.join(smallest, "comp").select("c", "comp", "component_id"), "dups-named")

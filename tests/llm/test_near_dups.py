@@ -79,3 +79,64 @@ def test_null_ids_and_empty_table(spark):
     assert got == [("9", "9"), ("None", "9"), ("None", "9"), ("None", "None"), ("None", "None")]
     assert near_dups.keep_one(docs).count() == 3
     assert near_dups.link(docs.limit(0)).count() == 0
+
+
+def cloud(rng, n):
+    """Texts of one original, most of them too far from each other to be linked, some by way of others."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(60)]
+    texts = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(60), rng.choice((0, 1, 2, 2, 3, 4))):
+            w[at] = word() if rng.random() < 0.9 else "same"
+        texts.append(w[: rng.choice((60, 60, 58, 55))])
+    # Two that are far from the original and linked with each other by their own words.
+    far = list(base)
+    for at in (5, 15, 25, 35, 45):
+        far[at] = word()
+    return [*texts, far, [*far[:-1], "end"]]
+
+
+def test_a_cloud_of_near_misses_equals_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(w), "x") for i, w in enumerate(cloud(rng, 220))]
+    got = near_dups.link(spark.createDataFrame(rows, DOCS))
+    want = brute(rows)
+    assert len({c for *_, c in want}) > 10
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+
+
+def test_verified_pairs_grow_with_the_group(spark, monkeypatch):
+    """Pairs verified in the last step for a group of twice as many near misses, whose true links are four times as many."""
+    counted = {}
+    plain = near_dups._frame_pairs
+
+    def watched(members):
+        out = plain(members)
+        counted[n] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dups, "_frame_pairs", watched)
+    for n in (400, 800):
+        rng = random.Random(10)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+        base = [word() for _ in range(60)]
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for at in rng.sample(range(60), 2):
+                w[at] = word()
+            texts.append(" ".join(w))
+        near_dups.link(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)).count()
+    assert counted.get(800, 0) <= 3 * counted.get(400, 0) and counted[800] < 0.02 * 800 * 799 / 2, counted
+
+
+def test_long_words_and_texts():
+    from slotwatch.llm import hashing
+
+    long = "w" * (hashing.LONG_WORD + 5)
+    texts = [f"a {long} b c d e", f"A {long} b c d e f", " ".join(f"w{i}" for i in range(400_000))]
+    one, two, three = hashing.shingle_sets([t.lower().encode() for t in texts])
+    assert len(one) == 2 and len(two) == 3 and set(one) < set(two) and len(three) == 399_996
+    assert (hashing.shingle_sets([b"x y z v w " + texts[2].encode()])[0].size, len(hashing.shingle_sets([texts[2].encode()])[0])) == (400_001, 399_996)
