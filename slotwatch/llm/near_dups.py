@@ -209,7 +209,7 @@ def link(docs: DataFrame) -> DataFrame:
     )
     keyed = mine.where(F.size("hs") >= 2).select("c", F.explode(pairs_of).alias("key"))
     keyed = stage(keyed, "dups-keyed")
-    bucket = keyed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "lo")
+    bucket = keyed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("met")).where("lo <> hi").select("key", "lo", "met")
     met = stage(keyed.join(bucket, "key"), "dups-keys")
     involved = stage(met.select("c").distinct().join(classes.select("c", "rep", "rep_h", "n_shingles", "copies"), "c"), "dups-involved")
 
@@ -257,10 +257,9 @@ def link(docs: DataFrame) -> DataFrame:
 
     compared(stars, STAR_ROUNDS, rest=False)
     # What is still apart is decided within the frame of each mixed bucket's largest component.
-    linked_ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
-    centre_of = comps.join(linked_ends, "node", "left").groupBy("comp").agg(
-        F.count(F.lit(1)).alias("size"), F.max_by("node", F.struct(F.coalesce("deg", F.lit(0)), "node")).alias("f")
-    )
+    # The centre is the class that meets most others, which of an original and its copies is the one nearest to all.
+    seen = met.groupBy(F.col("c").alias("node")).agg(F.sum("met").alias("met"))
+    centre_of = comps.join(seen, "node").groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.max_by("node", F.struct("met", "node")).alias("f"))
     placed = stage(comps.join(centre_of, "comp").select(F.col("node").alias("c"), "comp", "size", "f"), "dups-centres")
     member = met.select("key", "c").join(placed, "c")
     frames = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("size", "comp", "f")).alias("top"))
