@@ -31,8 +31,8 @@ _STRICT_TUPLE = rf"\(({DIGITS}), ({HASH})\)"
 class Rule:
     """One event kind: where it occurs, how its text starts, what it carries.
 
-    ``fields`` names the pattern's groups in order; a rule without a pattern is
-    recognised by its leading words alone.
+    ``tail`` is the pattern of what follows the leading words and ``fields`` names its
+    groups in order; a rule without one is recognised by its leading words alone.
     """
 
     kind: str
@@ -41,13 +41,6 @@ class Rule:
     tail: str | None = None
     fields: tuple[str, ...] = ("slot",)
 
-    def pattern(self) -> str:
-        literal = self.prefix
-        for ch in "\\(){}[].*+?^$|":
-            literal = literal.replace(ch, "\\" + ch)
-        # (?s): whatever follows an open-ended match is dropped, line breaks included.
-        return f"(?s)^{literal}{self.tail}"
-
 
 _V = (VOTOR_MODULE,)
 _R = (ROOT_MODULE,)
@@ -158,20 +151,37 @@ def _candidate() -> Column:
     return _ladder([(F.col("module").isin(*m), words(m)) for m in modules])
 
 
+def _shapes() -> dict[tuple[str, tuple[str, ...]], list[Rule]]:
+    """Rules by what follows their leading words: the pattern and the fields it fills."""
+    out: dict[tuple[str, tuple[str, ...]], list[Rule]] = {}
+    for rule in RULES:
+        if rule.tail is not None:
+            out.setdefault((rule.tail, rule.fields), []).append(rule)
+    return out
+
+
+def _tail_text() -> Column:
+    """The text after the candidate's leading words; NULL for a rule that is recognised by them alone."""
+    by_length: dict[int, list[str]] = {}
+    for rules in _shapes().values():
+        for rule in rules:
+            by_length.setdefault(len(rule.prefix), []).append(rule.kind)
+    skip = _ladder([(F.col("candidate").isin(*kinds), F.lit(n)) for n, kinds in sorted(by_length.items())])
+    return _rest(F.col("text"), skip)
+
+
 def _payload_text() -> Column:
     """The candidate's payload fields in layout order, joined by single spaces.
 
-    No payload field can hold a space, and the text before replacement starts with
-    the rule's own words, so an unchanged text means the pattern did not match.
+    One pattern for each shape of ``tail``. No payload field can hold a space and the result always has five
+    parts, which no matching text has, so an unchanged text means the pattern did not match.
     """
     branches = []
-    for rule in RULES:
-        if rule.tail is not None:
-            at = {_LAYOUT[f]: f"${i + 1}" for i, f in enumerate(rule.fields)}
-            template = " ".join(at.get(i, "-") for i in range(5))
-            branches.append(
-                (F.col("candidate") == rule.kind, F.regexp_replace("text", rule.pattern(), template))
-            )
+    for (tail, fields), rules in _shapes().items():
+        at = {_LAYOUT[f]: f"${i + 1}" for i, f in enumerate(fields)}
+        template = " ".join(at.get(i, "-") for i in range(5))
+        # (?s): whatever follows an open-ended match is dropped, line breaks included.
+        branches.append((F.col("candidate").isin(*[r.kind for r in rules]), F.regexp_replace("tail", f"(?s)^{tail}", template)))
     return _ladder(branches)
 
 
@@ -231,8 +241,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         ).alias("text"),
     )
     step = step.select(*base, "body", "ok", "text", _candidate().alias("candidate"))
-    step = step.select(*base, "body", "ok", "text", "candidate", _payload_text().alias("payload"))
-    matched = F.col("payload") != F.col("text")
+    step = step.select(*base, "body", "ok", "candidate", _tail_text().alias("tail"))
+    step = step.select(*base, "body", "ok", "tail", "candidate", _payload_text().alias("payload"))
+    matched = F.col("payload") != F.col("tail")
     step = step.select(
         *base, "body", "ok", "candidate", F.when(matched, F.split("payload", " ")).alias("fields")
     )

@@ -32,6 +32,18 @@ def leader_slots(parsed: DataFrame) -> DataFrame:
     )
 
 
+def line_class() -> Column:
+    """Where a parsed line is stored: slot (events of a slot record), rare (all other events,
+    leader windows among them), issue, or rest."""
+    outcome = F.col("outcome")
+    return (
+        F.when((outcome == "event") & F.col("kind").isin(*SLOT_KINDS), "slot")
+        .when(outcome == "event", "rare")
+        .when(outcome == "issue", "issue")
+        .otherwise("rest")
+    )
+
+
 # Each field of the record: the value and the events it may come from.
 def _fields() -> list[tuple[str, Column, Column]]:
     kind = F.col("kind")

@@ -34,22 +34,43 @@ class LogTables:
         self.store = (store or fresh_path(self.spark, "logtables")).rstrip("/")
         self._buckets: dict[int, DataFrame] = {}
 
-    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+    def _stage(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
         # Not partitioned by log: a log id may be empty or longer than a folder name, and
         # an input split holds one log, so file statistics prune as well.
         path = f"{self.store}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     # --- stages -------------------------------------------------------------------
+    @cached_property
+    def _by_class(self) -> DataFrame:
+        """Parsed lines with their class, a folder each: a reader of rare events does not open the files
+        of slot events or of lines that are no events."""
+        rows = parse.parse_lines(self.lines).withColumn("class", S.line_class())
+        return self._stage("parsed", rows, by="class")
+
+    def _of_class(self, *classes: str) -> DataFrame:
+        return self._by_class.where(F.col("class").isin(*classes)).drop("class")
+
     @cached_property
     def parsed(self) -> DataFrame:
-        return self._stage("parsed", parse.parse_lines(self.lines))
+        return self._by_class.drop("class")
 
     @cached_property
     def events(self) -> DataFrame:
         """Parsed rows that reach the fold (events and issues)."""
-        return self.parsed.where(F.col("outcome").isin("event", "issue"))
+        return self._of_class("slot", "rare", "issue")
+
+    @cached_property
+    def rare_events(self) -> DataFrame:
+        """Events that touch no slot record on their own: leader windows, standstills, identity, epochs."""
+        return self._of_class("rare")
+
+    @cached_property
+    def issue_rows(self) -> DataFrame:
+        """Grouped issues: unparsed warnings and errors, and the rare events that count as such."""
+        return self._of_class("issue", "rare")
 
     @cached_property
     def per_log(self) -> DataFrame:
@@ -71,7 +92,7 @@ class LogTables:
 
     @cached_property
     def slots(self) -> DataFrame:
-        raw = self._stage("slots_raw", S.build_slots(self.events))
+        raw = self._stage("slots_raw", S.build_slots(self._of_class("slot", "rare")))
         return self._stage("slots", ancestry.classify_skips(raw, ancestry.canonical_ancestors(raw)))
 
     @cached_property
@@ -84,19 +105,19 @@ class LogTables:
 
     @cached_property
     def ranges(self) -> DataFrame:
-        return self._stage("standstill_ranges", standstill.standstill_ranges(self.events, self.slots, self.meta))
+        return self._stage("standstill_ranges", standstill.standstill_ranges(self.rare_events, self.slots, self.meta))
 
     @cached_property
     def issue_groups(self) -> DataFrame:
-        return self._stage("log_issue_groups", issues.log_issue_groups(issues.issue_events(self.events)))
+        return self._stage("log_issue_groups", issues.log_issue_groups(issues.issue_events(self.issue_rows)))
 
     @cached_property
     def alert_rows(self) -> DataFrame:
         union = A.alerts(
             self.issue_groups,
-            standstill.standstill_firings(self.events),
-            self.events,
-            A.leader_summary(self.events, self.outcomes),
+            standstill.standstill_firings(self.rare_events),
+            self.rare_events,
+            A.leader_summary(self.rare_events, self.outcomes),
         )
         return self._stage("alerts", union)
 
@@ -121,13 +142,13 @@ class LogTables:
         return self.meta
 
     def parse_events(self) -> DataFrame:
-        return parse.parse_events(self.parsed)
+        return parse.parse_events(self._of_class("slot", "rare"))
 
     def event_kind_counts(self) -> DataFrame:
-        return parse.event_kind_counts(self.parsed)
+        return parse.event_kind_counts(self._of_class("slot", "rare"))
 
     def issue_events(self) -> DataFrame:
-        return issues.issue_events(self.events)
+        return issues.issue_events(self.issue_rows)
 
     # --- slots --------------------------------------------------------------------
     def overall_counters(self) -> DataFrame:
@@ -155,10 +176,10 @@ class LogTables:
         return V.page_at(self.incidents(), offset, limit)
 
     def leader_summary(self) -> DataFrame:
-        return A.leader_summary(self.events, self.outcomes)
+        return A.leader_summary(self.rare_events, self.outcomes)
 
     def leader_slots(self) -> DataFrame:
-        return S.leader_slots(self.events).select("log_id", "slot").distinct()
+        return S.leader_slots(self.rare_events).select("log_id", "slot").distinct()
 
     # --- latency ------------------------------------------------------------------
     def latency_samples(self) -> DataFrame:
@@ -199,7 +220,7 @@ class LogTables:
 
     # --- standstill ---------------------------------------------------------------
     def standstill_alerts(self) -> DataFrame:
-        return standstill.standstill_firings(self.events).drop("seq")
+        return standstill.standstill_firings(self.rare_events).drop("seq")
 
     def standstill_ranges(self) -> DataFrame:
         return self.ranges
@@ -219,7 +240,7 @@ class LogTables:
         return issues.event_histogram(kept, issues.GROUP, bins, sized_by=self.issue_groups)
 
     def leader_window_histogram(self, bins: int) -> DataFrame:
-        return issues.event_histogram(A.leader_windows(self.events), ["log_id"], bins, sized_by=self.meta)
+        return issues.event_histogram(A.leader_windows(self.rare_events), ["log_id"], bins, sized_by=self.meta)
 
     def alerts(self) -> DataFrame:
         return self.alert_rows

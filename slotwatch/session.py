@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,17 @@ from pyspark.sql import SparkSession
 # splits skewed join partitions; UTC keeps rendered times and buckets stable. The JVM
 # does not compile methods above 8000 bytes of bytecode: a generated method larger than
 # that would run interpreted, so Spark is told to split such stages instead (the line
-# parser runs twice as fast with it).
+# parser runs twice as fast with it). A task that writes rows by class keeps a file open for each of
+# the few classes instead of sorting its rows. Python tasks get smaller batches of rows,
+# as texts may be long.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -51,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="slotwatch-")
