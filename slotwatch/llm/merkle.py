@@ -143,15 +143,13 @@ def op7_merkle(spark, sf_dir: str) -> DataFrame:
         "next_leaves",
     )
     root_of = lambda c: F.substring_index(c, "|", 1)
-    shares = lambda of, leaves, root_b: likeness(root_of("fingerprint"), of(F.col("l")), root_b, of(F.col(leaves)))
+    shares = lambda leaves, root_b: likeness(root_of("fingerprint"), numbered(F.col("l")), root_b, numbered(F.col(leaves)))
     return printed.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        shares(F.array_distinct, "el", root_of("edited_fingerprint")).alias("near_edited"),
-        shares(F.array_distinct, "next_leaves", F.col("next_root")).alias("near_next"),
-        shares(numbered, "el", root_of("edited_fingerprint")).alias("near_edited_all"),
-        shares(numbered, "next_leaves", F.col("next_root")).alias("near_next_all"),
+        shares("el", root_of("edited_fingerprint")).alias("near_edited"),
+        shares("next_leaves", F.col("next_root")).alias("near_next"),
     )
