@@ -315,7 +315,7 @@ def test_bucket_index_and_count(spark):
     ts = [lo, lo + 59 * S_NS, lo + 60 * S_NS, lo + 599 * S_NS, lo + 10**6 * S_NS, lo - S_NS]
     df = spark.createDataFrame([(t, lo, lo + 600 * S_NS) for t in ts], "t bigint, lo_ns bigint, hi_ns bigint")
     assert [r[0] for r in df.select(buckets.bucket_index(F.col("t"), 60)).collect()] == [0, 0, 1, 9, 9, 0]
-    for hi, width, n in ((5 * 3600, 600, 30), (3600, 300, 12), (1, 600, 1), (61, 60, 2)):
+    for hi, width, n in ((7 * 3600 + 1, 900, 29), (2700, 180, 15), (1, 600, 1), (61, 60, 2)):
         one = spark.createDataFrame([(0, hi * S_NS)], "lo_ns bigint, hi_ns bigint")
         assert one.select(buckets.bucket_count(width)).first()[0] == n
 
