@@ -2,10 +2,11 @@
 
 Turns are laid out as ``<|im_start|>role\\ntext<|im_end|>\\n``. The running sum of turn
 tokens (words plus ``TURN_TOKENS`` for the markup) cuts a conversation into spans of
-whole turns: a span is the turns that start in the same half budget, and a turn longer
-than that stands alone, so no span exceeds the budget unless one turn does. Later
-windows repeat the system turn and up to two earlier turns within the history budget;
-the mask leaves everything repeated out, so each assistant text is a target once.
+whole turns: a span is the turns that start in the same cell, half of what the budget leaves
+beside the repeated turns, and a turn longer than a cell stands alone. Later windows repeat
+the last system turn before them and, in what it leaves of ``history``, up to two turns said since. So a
+window exceeds the budget only where one turn is longer than its cell or a system turn than
+``history``. The mask leaves everything repeated out, so each assistant text is a target once.
 """
 
 from __future__ import annotations
@@ -45,31 +46,36 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     empty table gives no windows. A conversation's turns meet in one task, as its windows
     depend on everything before them.
     """
-    half = budget // 2
+    cell = (budget - history) // 2
     conv = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    earlier = conv.rowsBetween(Window.unboundedPreceding, -1)
     rows = turns.select("conv_id", "turn", text_of("role").alias("role"), text_of().alias("text"))
-    rows = rows.withColumn("tokens", word_count(F.col("text")) + TURN_TOKENS).withColumns(
+    rows = rows.withColumn("tokens", word_count(F.col("text")) + TURN_TOKENS).withColumn("pos", F.row_number().over(conv) - 1)
+    said = F.struct("pos", "role", "text", "tokens")
+    rows = rows.withColumns(
         {
-            "pos": F.row_number().over(conv) - 1,
-            "before": F.coalesce(F.sum("tokens").over(conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "system": F.first(F.when(F.col("role") == "system", F.struct("role", "text"))).over(conv),
-            "last1": F.lag(F.struct("role", "text", "tokens"), 1).over(conv),
-            "last2": F.lag(F.struct("role", "text", "tokens"), 2).over(conv),
+            "before": F.coalesce(F.sum("tokens").over(earlier), F.lit(0)),
+            "system": F.last(F.when(F.col("role") == "system", said), ignorenulls=True).over(earlier),
+            "last1": F.lag(said, 1).over(conv),
+            "last2": F.lag(said, 2).over(conv),
         }
     )
-    cell = F.floor(F.col("before") / half)
-    prev_cell = F.floor((F.col("before") - F.col("last1.tokens")) / half)
-    opens = (F.col("pos") == 0) | (cell != prev_cell) | (F.col("tokens") > half) | (F.col("last1.tokens") > half)
-    rows = rows.withColumn("opens", opens).withColumn("window", F.sum(F.col("opens").cast("int")).over(conv) - 1)
-    # How far back a window may reach without meeting the system turn at position 0.
-    reach = F.col("pos") - F.when(F.col("system").isNotNull(), 1).otherwise(0)
-    first = (reach >= 1) & (F.col("last1.tokens") <= history)
-    second = first & (reach >= 2) & (F.col("last1.tokens") + F.col("last2.tokens") <= history)
-    turn = lambda c: F.struct(F.col(f"{c}.role"), F.col(f"{c}.text"))
+    at = F.floor(F.col("before") / cell)
+    prev_at = F.floor((F.col("before") - F.col("last1.tokens")) / cell)
+    opens = (F.col("pos") == 0) | (at != prev_at) | (F.col("tokens") > cell) | (F.col("last1.tokens") > cell)
+    rows = rows.withColumn("opens", opens)
+    number = F.sum(F.col("opens").cast("int")).over(conv.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    rows = rows.withColumn("window", number)
+    # Turns since the system turn, and what it leaves them.
+    since = F.col("pos") - F.coalesce(F.col("system.pos") + 1, F.lit(0))
+    left = history - F.coalesce(F.col("system.tokens"), F.lit(0))
+    first = (since >= 1) & (F.col("last1.tokens") <= left)
+    second = first & (since >= 2) & (F.col("last1.tokens") + F.col("last2.tokens") <= left)
+    turn = lambda c: F.when(F.col(f"{c}.pos").isNotNull(), F.struct(F.col(f"{c}.role"), F.col(f"{c}.text")))
     context = F.when(
-        F.col("opens") & (F.col("window") > 0),
+        F.col("opens") & (F.col("window") > 0) & (F.col("role") != "system"),
         F.filter(
-            F.array(F.col("system"), F.when(second, turn("last2")), F.when(first, turn("last1"))), lambda x: x.isNotNull()
+            F.array(turn("system"), F.when(second, turn("last2")), F.when(first, turn("last1"))), lambda x: x.isNotNull()
         ),
     )
     grouped = (
@@ -178,20 +184,24 @@ WITH t AS (
          23 + 1 + length(replace(regexp_replace(role, '<(!*)\|', '<!\1|', 'g'), chr(10), '<|n|>'))
             + length(regexp_replace(text, '<(!*)\|', '<!\1|', 'g')) AS chars
   FROM t
+), q AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM k
 ), p AS (
-  SELECT *, row_number() OVER w - 1 AS pos,
-         coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-         first_value(role) OVER w = 'system' AS sys, first_value(chars) OVER w AS sys_chars,
+  SELECT *, coalesce(sum(tok) OVER e, 0) AS before,
+         last_value(CASE WHEN role = 'system' THEN pos END IGNORE NULLS) OVER e AS sys,
+         last_value(CASE WHEN role = 'system' THEN tok END IGNORE NULLS) OVER e AS sys_tok,
+         last_value(CASE WHEN role = 'system' THEN chars END IGNORE NULLS) OVER e AS sys_chars,
          lag(tok, 1) OVER w AS tok1, lag(tok, 2) OVER w AS tok2, lag(chars, 1) OVER w AS chars1, lag(chars, 2) OVER w AS chars2
-  FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY pos),
+                e AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), o AS (
-  SELECT *, pos = 0 OR floor(before / 256) <> floor((before - tok1) / 256) OR tok > 256 OR tok1 > 256 AS opens,
-         pos - CASE WHEN sys THEN 1 ELSE 0 END AS reach FROM p
+  SELECT *, pos = 0 OR floor(before / 192) <> floor((before - tok1) / 192) OR tok > 192 OR tok1 > 192 AS opens,
+         pos - coalesce(sys + 1, 0) AS since, 128 - coalesce(sys_tok, 0) AS room FROM p
 ), f AS (
-  SELECT *, chars + CASE WHEN opens AND pos > 0 THEN
-           CASE WHEN sys THEN sys_chars ELSE 0 END
-           + CASE WHEN reach >= 1 AND tok1 <= 128 THEN chars1 ELSE 0 END
-           + CASE WHEN reach >= 2 AND tok1 <= 128 AND tok1 + tok2 <= 128 THEN chars2 ELSE 0 END
+  SELECT *, chars + CASE WHEN opens AND pos > 0 AND role <> 'system' THEN
+           coalesce(sys_chars, 0)
+           + CASE WHEN since >= 1 AND tok1 <= room THEN chars1 ELSE 0 END
+           + CASE WHEN since >= 2 AND tok1 <= room AND tok1 + tok2 <= room THEN chars2 ELSE 0 END
          ELSE 0 END AS all_chars
   FROM o
 ), g AS (

@@ -3,12 +3,13 @@
 A window is as long as a benchmark item. Its place is set by a shared five-word shingle
 near the item's start: windows at similarity 0.75 share all but a seventh of the item's
 shingles, so one of the first ``slack`` shingles is always among the shared ones, and
-windows a few words to either side are taken as well. Windows and items of one length are then
-compared by 64-bit SimHash of their words, each repetition a word of its own: a window at
-similarity 0.75 shares six sevenths of the item's words, and its fingerprint is further
-away than ``RADIUS`` in less than one of 10,000 cases. A radius that wide leaves bit blocks
-too short to tell fingerprints apart, so all of one length are compared. What is found
-is verified by the exact similarity of shingles weighted by how often they occur.
+windows a few words to either side are taken as well. Windows and items of one length meet
+by multi-index SimHash: two independent fingerprints of 64 bits, each in four blocks of 16. Of two
+fingerprints at most ``RADIUS`` bits apart some block differs in at most ``FLIPS``, and the index holds
+every item under all such changes of each block, so none within the radius is missed. A window
+at similarity 0.75 shares six sevenths of the item's words, each repetition a word of its
+own; one fingerprint of it is beyond the radius in up to 4 % of cases, both are in 0.2 %.
+What is found is verified by the exact similarity of shingles weighted by how often they occur.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwatch.llm.common import id_key, packed, stage, table, text_of, words
+from slotwatch.llm.merkle import numbered
 from slotwatch.operators.sizing import join_small
 
 SHINGLE = 5
 SIMILAR = 0.75
-RADIUS = 22
+RADIUS = 15
 SHIFTS = 2  # words to either side of the place the shared shingle gives
-BITS = 64
+PRINTS = ("fp0", "fp1")
+BLOCKS, BLOCK_BITS = 4, 16
+FLIPS = RADIUS // BLOCKS
+CHANGES = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= FLIPS]  # of one block
 
 
 def tokens(text: Column) -> Column:
@@ -37,13 +42,6 @@ def _gram_hashes(w: Column, k: int) -> Column:
     return F.when(F.size(w) >= k, grams)
 
 
-def _numbered(items: Column) -> Column:
-    """Each item with its number of occurrence."""
-    return F.transform(
-        items, lambda g, i: F.concat_ws("#", g, F.size(F.filter(F.slice(items, 1, i + 1), lambda x: x == g)))
-    )
-
-
 def weighted_shingles(w: Column) -> Column:
     """Five-word shingles, each with its number of occurrence, so that sets of them compare as
     weighted sets do; fewer words are one shingle, no words none."""
@@ -51,7 +49,7 @@ def weighted_shingles(w: Column) -> Column:
         F.size(w) > SHINGLE,
         F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")),
     ).otherwise(F.array(F.array_join(w, " ")))
-    return _numbered(grams)
+    return numbered(grams, lambda g, i: F.concat_ws("#", g, i))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -60,16 +58,49 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def simhash(rows: DataFrame, keys: list[str], w: str) -> DataFrame:
-    """``keys`` plus ``fp``: each bit by the majority of the hashes of all words in ``w``, repeated ones numbered."""
-    bits = rows.select(*keys, F.explode(_numbered(F.col(w))).alias("_w")).withColumn("_h", F.xxhash64("_w"))
-    one = F.lit(1).cast("bigint")
-    votes = bits.groupBy(*keys).agg(
-        *[F.sum(F.shiftright("_h", b).bitwiseAND(one) * 2 - 1).alias(f"_b{b}") for b in range(BITS)]
+    """``keys`` plus two fingerprints: each bit by the majority of the hashes of all words in ``w``, repeated ones numbered."""
+    first = F.explode(numbered(F.transform(w, lambda x: F.xxhash64(x)))).alias("_h0")
+    hashed = rows.select(*keys, first).withColumn("_h1", F.xxhash64("_h0"))
+    # A sum counts two bits at once, 32 places apart; no array has more words than 32 bits count.
+    pair = F.lit((1 << 32) + 1)
+    sums = [F.sum(F.shiftright(f"_h{i}", b).bitwiseAND(pair)).alias(f"_s{i}_{b}") for i in range(len(PRINTS)) for b in range(32)]
+    votes = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *sums)
+
+    def majority(i: int) -> Column:
+        fp = F.lit(0).cast("bigint")
+        for b in range(64):
+            s = F.col(f"_s{i}_{b % 32}")
+            count = F.shiftright(s, 32) if b >= 32 else s.bitwiseAND(F.lit((1 << 32) - 1))
+            bit = F.shiftleft(F.lit(1).cast("bigint"), b)
+            fp = fp.bitwiseOR(F.when(count * 2 > F.col("_n"), bit).otherwise(F.lit(0).cast("bigint")))
+        return fp
+
+    return votes.select(*keys, *[majority(i).alias(fp) for i, fp in enumerate(PRINTS)])
+
+
+def _blocks() -> Column:
+    part = lambda fp, b: F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    return F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(i * BLOCKS + b).alias("block"), part(fp, b).alias("bits"))
+                for i, fp in enumerate(PRINTS)
+                for b in range(BLOCKS)
+            ]
+        )
     )
-    fp = F.lit(0).cast("bigint")
-    for b in range(BITS):
-        fp = fp.bitwiseOR(F.when(F.col(f"_b{b}") > 0, F.shiftleft(one, b)).otherwise(F.lit(0).cast("bigint")))
-    return votes.select(*keys, fp.alias("fp"))
+
+
+def near_items(prints: DataFrame, items: DataFrame) -> DataFrame:
+    """``[n, fp0, fp1, item_id]``: all items of length ``n`` of which a fingerprint is within ``RADIUS``.
+
+    ``prints`` are distinct ``[n, fp0, fp1]``; ``items`` have item_id besides.
+    """
+    index = items.select("item_id", "n", *[F.col(fp).alias(f"item_{fp}") for fp in PRINTS], _blocks())
+    index = index.withColumn("change", F.explode(F.lit(CHANGES))).withColumn("bits", F.col("bits").bitwiseXOR(F.col("change")))
+    found = prints.select("n", *PRINTS, _blocks()).join(index.drop("change"), ["n", "block", "bits"])
+    within = [F.bit_count(F.col(fp).bitwiseXOR(F.col(f"item_{fp}"))) <= RADIUS for fp in PRINTS]
+    return found.where(within[0] | within[1]).select("n", *PRINTS, "item_id").distinct()
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -118,12 +149,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         "bench-cut",
     )
     ids = ["_k", "h", "start", "n"]
-    index = simhash(item, ["item_id", "n"], "w").withColumnRenamed("fp", "item_fp")
-    pairs = (
-        join_small(simhash(cut, ids, "w"), stage(index, "bench-index"), ["n"])
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-        .select(*ids, "item_id")
-    )
+    prints = stage(simhash(cut, ids, "w"), "bench-prints")
+    near = near_items(prints.select("n", *PRINTS).distinct(), simhash(item, ["item_id", "n"], "w"))
+    pairs = join_small(prints, stage(near, "bench-near"), ["n", *PRINTS]).select(*ids, "item_id")
     shingled = stage(item.select("item_id", "n", weighted_shingles(F.col("w")).alias("item_shingles")), "bench-shingles")
     both = join_small(pairs.join(cut, ids), shingled, ["item_id", "n"])
     scored = both.select(

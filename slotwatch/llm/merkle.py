@@ -9,6 +9,8 @@ differ locate the edit. A fingerprint is written as ``root|tree``: sections part
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +52,14 @@ def all_leaves(tree_: Column) -> Column:
     return F.transform(F.flatten(F.flatten(tree_)), lambda x: x.bitwiseAND(low))
 
 
-def numbered(leaves: Column) -> Column:
-    """A hash of each leaf and its number of occurrence, so that sets of them compare as all leaves do."""
+def numbered(leaves: Column, label: Callable[[Column, Column], Column] = F.xxhash64) -> Column:
+    """A hash (or ``label``) of each leaf and its number of occurrence, so that sets of them compare as all leaves do."""
     # Arrays of one element bind what is used for every leaf, so that it is computed once.
     bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     opens = lambda s: F.filter(
         F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull()
     )
-    run = lambda s, at, end: F.transform(F.sequence(at, end - 1), lambda i: F.xxhash64(F.get(s, at), i - at))
+    run = lambda s, at, end: F.transform(F.sequence(at, end - 1), lambda i: label(F.get(s, at), i - at))
     runs = lambda s: bound(
         opens(s), lambda o: F.flatten(F.transform(o, lambda at, j: run(s, at, F.coalesce(F.get(o, j + 1), F.size(s)))))
     )

@@ -22,19 +22,24 @@ from slotwatch.llm.common import table, text_of
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "local_phone")
 KEEP = 0.5
-REACH = 40  # code points before a span that are searched for context words
+REACH = 40  # code points before and after a span that are searched for context words
 
 # Score without context, and the words that raise it.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.2}
 CONTEXT = {
-    "email": ("mail", "contact", "write to"),
+    "email": ("mail", "email", "contact", "write to"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "fax", "mobile"),
+    "phone": ("phone", "telephone", "tel", "call", "fax", "mobile"),
     "iban": ("iban", "account", "bank", "konto", "compte"),
-    "local_phone": ("phone", "tel", "call", "fax", "mobile"),
+    "local_phone": ("phone", "telephone", "tel", "call", "fax", "mobile"),
 }
 BOOST = 0.4
+LONGEST = max(len(w) for words in CONTEXT.values() for w in words)
+# Whole words, also in the plural.
+_CONTEXT = {
+    kind: re.compile(rf"(?<![^\W\d_])(?:{'|'.join(words)})s?(?![^\W\d_])", re.I) for kind, words in CONTEXT.items()
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -123,9 +128,16 @@ def _local_phones(text: str) -> Iterator[tuple[int, int]]:
 _FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "local_phone": _local_phones}
 
 
-def _score(text: str, kind: str, start: int) -> float:
-    near = text[max(0, start - REACH) : start].lower()
-    return min(1.0, PRIOR[kind] + BOOST * any(w in near for w in CONTEXT[kind]))
+def _score(text: str, kind: str, start: int, end: int) -> float:
+    words = _CONTEXT[kind]
+    first = max(0, start - REACH)
+    # One more character before, and a whole word more behind, show where words at the rim begin and end.
+    before = text[max(0, first - 1) : start]
+    near = words.search(before, min(first, 1)) is not None
+    if not near:
+        after = words.search(text[end : end + REACH + LONGEST + 2])
+        near = after is not None and after.start() < REACH
+    return min(1.0, PRIOR[kind] + BOOST * near)
 
 
 def find_spans(text: str) -> list[dict]:
@@ -135,7 +147,7 @@ def find_spans(text: str) -> list[dict]:
         added = kind not in BASE_KINDS
         taken = [(s["start"], s["end"]) for s in out] if added else []
         for start, end in _FINDERS[kind](text):
-            score = _score(text, kind, start)
+            score = _score(text, kind, start, end)
             if added and (score < KEEP or any(start < e and s < end for s, e in taken)):
                 continue
             out.append({"kind": kind, "start": start, "end": end, "score": score})

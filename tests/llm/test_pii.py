@@ -57,6 +57,22 @@ def test_added_kinds():
     assert pii.find_spans(f"{iban[:-1]}1") == []
     assert [s["kind"] for s in pii.find_spans("call 555-123-4567 now")] == ["local_phone"]
     assert pii.find_spans("part 555-123-4567 now") == []
+    assert [s["kind"] for s in pii.find_spans("555-123-4567 (my phone)")] == ["local_phone"]
+    assert pii.find_spans("the hotel 555-123-4567 is called so") == []
+    far = "x" * 33
+    assert [s["kind"] for s in pii.find_spans(f"Tel. {far} 555-123-4567")] == ["local_phone"]
+    assert pii.find_spans(f"hotel {far} 555-123-4567") == []
+    assert [s["kind"] for s in pii.find_spans(f"555-123-4567 {far} phones")] == ["local_phone"]
+    assert pii.find_spans(f"555-123-4567 {far} telegrams") == []
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    rows = [(1, "write x@y.org", 1), (1, "write x@y.org", 1), (2, None, 1), (None, "", 1), (3, "1 " * 50_000, 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, spans int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_email, r.spans) for r in pii.op2_pii_spans(spark, str(tmp_path)).collect())
+    assert got == [("1", 1, "email:6:13"), ("1", 1, "email:6:13"), ("2", 0, ""), ("3", 0, ""), ("None", 0, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, spans int").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pii.op2_pii_spans(spark, f"{tmp_path}/none").count() == 0
 
 
 @pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000, "1." * 100_000, "a@" * 50_000, "1-" * 100_000, "A1" * 100_000])

@@ -70,15 +70,45 @@ def test_chat_of_odd_turns(spark, tmp_path):
     same(spark, tmp_path, "conversations", rows, "conv_id bigint, turn bigint, role string, text string, window int", "op10_chat_windows")
 
 
+def _turns_of(window):
+    return [p.split("\n", 1) for p in window.text.removesuffix("<|im_end|>\n").removeprefix("<|im_start|>").split("<|im_end|>\n<|im_start|>")]
+
+
 def test_chat_windows_keep_their_budget(spark):
     rows = [(1, i, ("user", "assistant")[i % 2], "w " * (5 + i % 40)) for i in range(200)]
+    rows += [(2, i, "system" if i % 50 == 3 else ("user", "assistant")[i % 2], f"{i} " * (5 + i % 20)) for i in range(200)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    repeated = 0
     for w in chat.chat_windows(turns, budget=200, history=60).collect():
-        own = w.text.split("<|im_start|>")[1:][w.n_context :]
-        assert sum(len(p.split("\n", 1)[1].split("<|im_end|>")[0].split()) + chat.TURN_TOKENS for p in own) <= 200
+        assert sum(len(text.split()) + chat.TURN_TOKENS for _, text in _turns_of(w)) <= 200
+        repeated += w.n_context
+    assert repeated > 20
     assert chat.chat_windows(turns.limit(0)).count() == 0
 
 
+def test_chat_windows_retain_the_last_system_turn(spark):
+    rows = [(1, None, "user", "early"), (1, 0, "system", "be brief")] + [(1, i, ("assistant", "user")[i % 2], "w " * 90) for i in range(1, 20)]
+    rows += [(1, 20, "system", "be long"), *[(1, i, ("assistant", "user")[i % 2], "v " * 90) for i in range(21, 40)]]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    windows = sorted(chat.chat_windows(turns).collect(), key=lambda w: w.window)
+    assert [w.window for w in windows] == list(range(len(windows)))
+    current = None
+    for w in windows:
+        said = _turns_of(w)
+        if current and said[0][0] != "system":
+            raise AssertionError(said[0])
+        if current and w.n_context:
+            assert said[0][1] == current
+        current = next((text for role, text in reversed(said) if role == "system"), current)
+    assert current == "be long"
+
+
+def test_chat_windows_part_equal_rows(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "w " * 300)] * 2 + [(1, 2, "assistant", "ok")], "conv_id bigint, turn bigint, role string, text string")
+    windows = sorted(chat.chat_windows(turns).collect(), key=lambda w: w.window)
+    assert [(w.window, len(_turns_of(w)) - w.n_context) for w in windows] == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_warc_of_odd_pages(spark, tmp_path):
     long = "<p>" + "ö" * 700
     rows = [
@@ -214,3 +244,23 @@ def test_decontamination_near_the_limit(spark):
     got = decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert all(r.doc_id == r.item_id and 0.75 <= r.similarity < 0.8 for r in got)
     assert len(got) >= 0.995 * len(docs)
+
+
+def test_blocks_find_all_within_the_radius(spark):
+    import random
+
+    rng = random.Random(4)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [(i, 20 + i % 2, rng.getrandbits(64), rng.getrandbits(64)) for i in range(60)]
+    prints, want = set(), set()
+    for k in range(600):
+        _, n, *fps = rng.choice(items)
+        for b in rng.sample(range(64), rng.randrange(22)):
+            fps[k % 2] ^= 1 << b
+        fps[1 - k % 2] = rng.getrandbits(64)
+        prints.add((n, *fps))
+    for n, a, b in prints:
+        want |= {(n, signed(a), signed(b), i) for i, m, x, y in items if n == m and min((a ^ x).bit_count(), (b ^ y).bit_count()) <= 15}
+    index = spark.createDataFrame([(i, n, signed(x), signed(y)) for i, n, x, y in items], "item_id bigint, n int, fp0 bigint, fp1 bigint")
+    rows = spark.createDataFrame([(n, signed(a), signed(b)) for n, a, b in prints], "n int, fp0 bigint, fp1 bigint")
+    assert {tuple(r) for r in decontaminate.near_items(rows, index).collect()} == want and len(want) > 300
