@@ -1,11 +1,16 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page becomes a row of text blocks with their word count, the share of words inside links,
-the same of the blocks before and after, and three facts about where they stand:
-inside an article or main element, inside a container that is named or marked as page
-furniture, and whether they are headings. A decision tree, trained when the module is
+the same of the blocks before and after, and where they stand: inside an article or main
+element, whether they are headings, and in what container. A container is an element that is furniture
+by its name, or by a word in its class, id or role. As a wrapper of the whole page may be named so too,
+what counts of a block's innermost container is how much of the page's unlinked text it holds and
+which share of the page's articles or headlines. A decision tree, trained when the module is
 loaded on the labelled blocks in ``LABELLED``, says which blocks are main text.
 Scanning is linear in the page, whatever is left unclosed.
+
+Null and empty pages have empty text. Repeated rows are each extracted, an empty table gives an empty one, and
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -47,13 +52,21 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACES = re.compile(r"\s+")
 
 
+@dataclass
+class Container:
+    """Unlinked words, those of them in articles, and headlines before its start and by its end."""
+
+    start: tuple[int, int, int]
+    end: tuple[int, int, int]
+
+
 @dataclass
 class Block:
     text: str
     words: int
     linked: int
     in_main: bool
-    marked: bool
+    container: Container | None
     heading: bool
 
 
@@ -70,9 +83,12 @@ class _Scanner:
     def __init__(self, page: str):
         self.page, self.blocks = page, []
         self.parts: list[tuple[str, bool]] = []  # text, in a link
-        self.open: list[tuple[str, int, int, int]] = []  # name and the three depths outside it
+        self.open: list[tuple[str, int, int, Container | None, bool]] = []  # name and the state outside it
         self.count: dict[str, int] = {}
-        self.main = self.furniture = self.marks = 0
+        self.main = self.furniture = 0
+        self.container: Container | None = None
+        self.story = False  # in an article, and in no container inside it
+        self.words = self.article_words = self.headlines = 0  # so far; words outside of links
         self.quotes = True  # attribute quotes are still balanced
 
     def run(self) -> list[Block]:
@@ -95,6 +111,8 @@ class _Scanner:
                 self.text("<")
                 at = lt + 1
         self.edge()
+        while self.open:
+            self.pop()
         return self.blocks
 
     def tag_end(self, at: int) -> int:
@@ -125,23 +143,32 @@ class _Scanner:
         else:
             if tag in ("p", "a", "li", "option") and self.open and self.open[-1][0] == tag:
                 self.close(tag)
-            self.open.append((tag, self.main, self.furniture, self.marks))
+            self.open.append((tag, self.main, self.furniture, self.container, self.story))
             self.count[tag] = self.count.get(tag, 0) + 1
-            marked = bool(attributes) and tag not in ("html", "body") and _is_marked(attributes)
-            if tag in MAIN_TAGS and not marked:
-                self.main, self.marks = self.main + 1, 0  # an article is not furniture for its wrapper's name
-            self.furniture += tag in FURNITURE_TAGS
-            self.marks += marked
+            if tag in FURNITURE_TAGS or attributes and _is_marked(attributes):
+                self.container, self.story = Container(self.totals(), (0, 0, 0)), False
+            elif tag in MAIN_TAGS:
+                self.story = True
+            self.headlines += tag == "h1" and not self.furniture
+            self.main += tag in MAIN_TAGS
+            self.furniture += tag in FURNITURE_TAGS and tag != "form"
         return end
 
     def close(self, tag: str) -> None:
-        if not self.count.get(tag):
-            return
-        while True:
-            name, self.main, self.furniture, self.marks = self.open.pop()
-            self.count[name] -= 1
-            if name == tag:
-                return
+        if self.count.get(tag):
+            while self.pop() != tag:
+                pass
+
+    def totals(self) -> tuple[int, int, int]:
+        return self.words, self.article_words, self.headlines
+
+    def pop(self) -> str:
+        inner = self.container
+        name, self.main, self.furniture, self.container, self.story = self.open.pop()
+        if inner is not self.container:
+            inner.end = self.totals()
+        self.count[name] -= 1
+        return name
 
     def text(self, text: str) -> None:
         if text:
@@ -153,44 +180,78 @@ class _Scanner:
         parts, self.parts = self.parts, []
         text = _SPACES.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
         if text:
-            linked = sum(len(p.split()) for p, link in parts if link)
+            words = len(text.split())
+            linked = min(words, sum(len(p.split()) for p, link in parts if link))
+            self.words += words - linked
+            self.article_words += self.story * (words - linked)
             heading = any(self.count.get(f"h{i}") for i in range(1, 7))
-            self.blocks.append(
-                Block(text, len(text.split()), linked, self.main > 0, self.furniture + self.marks > 0, heading)
-            )
+            self.blocks.append(Block(text, words, linked, self.main > 0, self.container, heading))
 
 
-def blocks(page: str) -> list[Block]:
-    return _Scanner(page).run()
+def places(found: list[Block], totals: tuple[int, int, int]) -> list[tuple[float, float]]:
+    """What each block's container holds of the page: the share of unlinked words and of those in
+    articles. Without articles on the page the second is that of headlines, if it holds any, else
+    a half. Both are 1 outside of any container."""
+    out = []
+    for b in found:
+        if (c := b.container) is None:
+            out.append((1.0, 1.0))
+            continue
+        words, articles, headlines = ((e - s) / t if t else 0.0 for s, e, t in zip(c.start, c.end, totals))
+        out.append((words, articles if totals[1] else headlines or 0.5))
+    return out
 
 
-FEATURES = ("marked", "in_main", "link", "words", "prev_link", "prev_words", "next_link", "next_words", "heading")
+FEATURES = ("share", "article", "in_main", "link", "words", "prev_link", "prev_words", "next_link", "next_words", "heading")
 
 # Blocks labelled by hand, in the order of FEATURES, then 1 for main text.
 LABELLED = [
     # menus, one or few words, all of them links
-    (1, 0, 1.0, 1, 0.0, 0, 1.0, 1, 0, 0), (1, 0, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 0, 1.0, 2, 1.0, 1, 0.0, 12, 0, 0),
-    (0, 0, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0), (0, 0, 1.0, 3, 1.0, 2, 1.0, 1, 0, 0), (0, 0, 0.9, 10, 1.0, 4, 0.0, 8, 0, 0),
-    (0, 0, 1.0, 6, 0.0, 80, 1.0, 5, 0, 0), (0, 0, 0.6, 15, 1.0, 6, 1.0, 6, 0, 0),
+    (0.0, 0.0, 0, 1.0, 1, 0.0, 0, 1.0, 1, 0, 0), (0.0, 0.0, 0, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (0.02, 0.0, 0, 1.0, 2, 1.0, 1, 0.0, 12, 0, 0),
+    (1.0, 1.0, 0, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0), (1.0, 1.0, 0, 1.0, 3, 1.0, 2, 1.0, 1, 0, 0), (1.0, 1.0, 0, 0.9, 10, 1.0, 4, 0.0, 8, 0, 0),
+    (1.0, 1.0, 0, 1.0, 6, 0.0, 80, 1.0, 5, 0, 0), (1.0, 1.0, 0, 0.6, 15, 1.0, 6, 1.0, 6, 0, 0), (0.97, 1.0, 0, 1.0, 2, 1.0, 1, 0.0, 60, 0, 0),
+    (0.95, 0.5, 0, 1.0, 1, 0.0, 0, 1.0, 1, 0, 0),
+    (1.0, 1.0, 0, 0.95, 40, 0.0, 60, 0.0, 4, 0, 0), (1.0, 1.0, 0, 0.8, 28, 1.0, 3, 0.0, 50, 0, 0), (1.0, 1.0, 0, 1.0, 35, 1.0, 30, 1.0, 33, 0, 0),
+    (0.95, 1.0, 0, 0.9, 45, 0.0, 70, 1.0, 20, 0, 0),
     # adverts, notices, sidebars and forms in marked containers
-    (1, 0, 0.0, 7, 1.0, 1, 0.0, 6, 0, 0), (1, 0, 0.0, 12, 1.0, 1, 0.0, 9, 0, 0), (1, 0, 0.0, 40, 1.0, 1, 0.0, 60, 0, 0),
-    (1, 1, 0.0, 15, 0.0, 60, 0.0, 45, 0, 0), (1, 1, 0.2, 30, 0.0, 50, 0.0, 70, 0, 0), (1, 1, 0.0, 3, 0.0, 90, 0.0, 20, 1, 0),
-    (1, 1, 1.0, 4, 0.0, 33, 0.0, 0, 0, 0), (1, 0, 0.1, 22, 0.0, 10, 0.5, 4, 0, 0), (1, 0, 0.0, 2, 0.0, 9, 0.0, 2, 1, 0),
+    (0.05, 0.0, 0, 0.0, 7, 1.0, 1, 0.0, 6, 0, 0), (0.1, 0.0, 0, 0.0, 12, 1.0, 1, 0.0, 9, 0, 0), (0.2, 0.0, 0, 0.0, 40, 1.0, 1, 0.0, 60, 0, 0),
+    (0.08, 0.0, 1, 0.0, 15, 0.0, 60, 0.0, 45, 0, 0), (0.15, 0.0, 1, 0.2, 30, 0.0, 50, 0.0, 70, 0, 0), (0.06, 0.0, 1, 0.0, 3, 0.0, 90, 0.0, 20, 1, 0),
+    (0.0, 0.0, 1, 1.0, 4, 0.0, 33, 0.0, 0, 0, 0), (0.12, 0.5, 0, 0.1, 22, 0.0, 10, 0.5, 4, 0, 0), (0.3, 0.0, 0, 0.0, 2, 0.0, 9, 0.0, 2, 1, 0),
+    (0.7, 0.0, 0, 0.0, 30, 0.0, 6, 0.0, 9, 0, 0), (0.04, 0.5, 0, 0.0, 5, 1.0, 1, 0.0, 60, 0, 0), (0.45, 0.5, 0, 0.0, 18, 0.0, 21, 0.0, 9, 0, 0),
+    (0.1, 0.3, 1, 0.0, 14, 1.0, 3, 1.0, 3, 0, 0), (0.3, 0.6, 1, 0.1, 20, 1.0, 5, 0.0, 20, 0, 0),
+    (0.0, 0.67, 1, 1.0, 2, 0.0, 2, 1.0, 3, 0, 0), (0.0, 0.67, 1, 1.0, 3, 1.0, 2, 0.0, 9, 0, 0), (0.02, 0.5, 1, 1.0, 4, 0.0, 60, 1.0, 4, 0, 0),
     # footers and reader comments
-    (1, 0, 0.0, 9, 0.0, 50, 0.0, 0, 0, 0), (1, 0, 0.3, 14, 0.0, 120, 0.0, 0, 0, 0), (1, 0, 0.0, 25, 0.0, 3, 0.0, 31, 0, 0),
-    (1, 1, 0.0, 55, 0.0, 4, 0.0, 18, 0, 0), (0, 0, 0.0, 4, 0.0, 70, 0.0, 0, 0, 0), (0, 0, 0.0, 5, 1.0, 1, 1.0, 2, 0, 0),
+    (0.06, 0.0, 0, 0.0, 9, 0.0, 50, 0.0, 0, 0, 0), (0.1, 0.0, 0, 0.3, 14, 0.0, 120, 0.0, 0, 0, 0), (0.35, 0.0, 0, 0.0, 25, 0.0, 3, 0.0, 31, 0, 0),
+    (0.8, 0.0, 1, 0.0, 55, 0.0, 4, 0.0, 18, 0, 0), (1.0, 1.0, 0, 0.0, 4, 0.0, 70, 0.0, 0, 0, 0), (1.0, 1.0, 0, 0.0, 5, 1.0, 1, 1.0, 2, 0, 0),
+    (0.9, 0.0, 0, 0.0, 41, 0.0, 40, 0.0, 38, 0, 0), (0.2, 0.25, 1, 0.0, 30, 0.0, 4, 0.0, 33, 0, 0), (0.96, 1.0, 0, 0.0, 4, 0.0, 80, 0.0, 0, 0, 0),
     # articles: headings, paragraphs of any length, lists of links in the text
-    (0, 1, 0.0, 6, 0.0, 9, 0.0, 8, 1, 1), (0, 1, 0.0, 1, 0.0, 50, 0.0, 40, 0, 1), (0, 1, 0.0, 120, 0.0, 6, 0.0, 80, 0, 1),
-    (0, 1, 0.0, 3, 0.0, 1, 0.0, 2, 0, 1), (0, 1, 0.1, 45, 0.0, 60, 0.0, 9, 0, 1), (0, 1, 0.5, 8, 0.0, 44, 0.0, 70, 0, 1),
-    (0, 1, 1.0, 3, 0.0, 30, 0.0, 25, 0, 1), (0, 1, 0.0, 9, 0.0, 70, 0.0, 7, 0, 1), (0, 1, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1),
-    (0, 1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1), (0, 1, 0.0, 15, 1.0, 2, 0.0, 14, 1, 1),
+    (1.0, 1.0, 1, 0.0, 6, 0.0, 9, 0.0, 8, 1, 1), (1.0, 1.0, 1, 0.0, 1, 0.0, 50, 0.0, 40, 0, 1), (1.0, 1.0, 1, 0.0, 120, 0.0, 6, 0.0, 80, 0, 1),
+    (1.0, 1.0, 1, 0.0, 3, 0.0, 1, 0.0, 2, 0, 1), (1.0, 1.0, 1, 0.1, 45, 0.0, 60, 0.0, 9, 0, 1), (1.0, 1.0, 1, 0.5, 8, 0.0, 44, 0.0, 70, 0, 1),
+    (1.0, 1.0, 1, 1.0, 3, 0.0, 30, 0.0, 25, 0, 1), (1.0, 1.0, 1, 0.0, 9, 0.0, 70, 0.0, 7, 0, 1), (1.0, 1.0, 1, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1),
+    (1.0, 1.0, 1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1), (1.0, 1.0, 1, 0.0, 15, 1.0, 2, 0.0, 14, 1, 1),
+    (1.0, 1.0, 1, 0.0, 2, 0.0, 60, 1.0, 2, 0, 1), (1.0, 1.0, 1, 0.3, 12, 0.0, 60, 1.0, 3, 0, 1), (1.0, 1.0, 1, 0.0, 20, 0.0, 6, 1.0, 4, 0, 1),
+    (1.0, 1.0, 1, 1.0, 4, 1.0, 3, 1.0, 3, 0, 1), (1.0, 1.0, 1, 0.0, 3, 1.0, 3, 1.0, 2, 1, 1), (0.9, 1.0, 1, 0.0, 2, 0.0, 60, 1.0, 2, 0, 1),
+    # the same in wrappers whose class, id or element is that of furniture
+    (0.98, 1.0, 1, 0.0, 7, 0.0, 9, 0.0, 60, 1, 1), (0.9, 1.0, 1, 0.0, 50, 0.0, 40, 0.0, 70, 0, 1), (0.75, 1.0, 1, 0.0, 3, 0.0, 40, 0.0, 20, 0, 1),
+    (0.5, 1.0, 1, 0.0, 40, 0.0, 7, 0.0, 33, 0, 1), (0.3, 1.0, 1, 0.0, 28, 0.0, 4, 0.0, 30, 0, 1), (0.95, 1.0, 1, 1.0, 2, 0.0, 40, 0.0, 30, 0, 1),
+    (0.97, 1.0, 0, 0.0, 44, 0.0, 6, 0.0, 52, 0, 1), (0.85, 1.0, 0, 0.0, 60, 0.0, 50, 0.0, 0, 0, 1), (0.92, 0.5, 0, 0.0, 70, 0.0, 4, 0.0, 66, 0, 1),
+    (0.8, 0.5, 0, 0.05, 35, 0.0, 40, 0.0, 28, 0, 1), (0.9, 0.5, 0, 0.0, 26, 0.0, 0, 0.0, 30, 0, 1), (0.99, 0.5, 0, 0.0, 58, 1.0, 2, 0.0, 3, 0, 1),
     # main text of pages without an article element
-    (0, 0, 0.0, 60, 0.0, 5, 0.0, 70, 0, 1), (0, 0, 0.05, 90, 0.0, 60, 0.0, 4, 0, 1), (0, 0, 0.0, 35, 1.0, 2, 0.0, 50, 0, 1),
-    (0, 0, 0.0, 7, 1.0, 3, 0.0, 64, 1, 1), (0, 0, 0.0, 5, 0.0, 40, 0.0, 52, 0, 1), (0, 0, 0.2, 48, 0.0, 33, 0.0, 29, 0, 1),
-    (0, 0, 0.0, 22, 0.0, 30, 0.0, 26, 0, 1), (0, 0, 0.0, 18, 0.0, 25, 1.0, 3, 0, 1), (0, 0, 0.1, 30, 0.0, 28, 0.0, 3, 0, 1),
-    (0, 0, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (0, 0, 0.0, 33, 0.0, 60, 1.0, 1, 0, 1), (0, 0, 0.0, 28, 0.0, 0, 0.0, 0, 0, 1),
-    (0, 0, 0.0, 41, 0.0, 5, 0.0, 2, 0, 1), (0, 0, 0.0, 26, 0.0, 55, 0.0, 1, 0, 1),
+    (1.0, 1.0, 0, 0.0, 60, 0.0, 5, 0.0, 70, 0, 1), (1.0, 1.0, 0, 0.05, 90, 0.0, 60, 0.0, 4, 0, 1), (1.0, 1.0, 0, 0.0, 35, 1.0, 2, 0.0, 50, 0, 1),
+    (1.0, 1.0, 0, 0.0, 7, 1.0, 3, 0.0, 64, 1, 1), (1.0, 1.0, 0, 0.0, 5, 0.0, 40, 0.0, 52, 0, 1), (1.0, 1.0, 0, 0.2, 48, 0.0, 33, 0.0, 29, 0, 1),
+    (1.0, 1.0, 0, 0.0, 22, 0.0, 30, 0.0, 26, 0, 1), (1.0, 1.0, 0, 0.0, 18, 0.0, 25, 1.0, 3, 0, 1), (1.0, 1.0, 0, 0.1, 30, 0.0, 28, 0.0, 3, 0, 1),
+    (1.0, 1.0, 0, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (1.0, 1.0, 0, 0.0, 33, 0.0, 60, 1.0, 1, 0, 1), (1.0, 1.0, 0, 0.0, 28, 0.0, 0, 0.0, 0, 0, 1),
+    (1.0, 1.0, 0, 0.0, 41, 0.0, 5, 0.0, 2, 0, 1), (1.0, 1.0, 0, 0.0, 26, 0.0, 55, 0.0, 1, 0, 1),
 ]
+# Blocks of articles and of small containers are what they are whatever stands around them.
+_NEIGHBOURS = [(0.0, 0), (0.0, 60), (1.0, 2)]
+LABELLED += [
+    (*row[:5], *before, *after, *row[9:])
+    for row in LABELLED
+    if row[2] and row[-1] or row[0] < 0.3 and row[1] < 0.3 and not row[-1]
+    for before in _NEIGHBOURS
+    for after in _NEIGHBOURS
+]
 
 
 def grow(rows: list[tuple], depth: int = 6):
@@ -229,13 +290,15 @@ def classify(features: tuple) -> int:
 
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks parted by line ends; empty if there is none."""
-    found = blocks(page or "")
+    scan = _Scanner(page or "")
+    found = scan.run()
+    place = places(found, scan.totals())
     link = [b.linked / b.words for b in found]
     out = []
     for i, b in enumerate(found):
         prev_link, prev_words = (link[i - 1], found[i - 1].words) if i else (0.0, 0)
         next_link, next_words = (link[i + 1], found[i + 1].words) if i + 1 < len(found) else (0.0, 0)
-        if classify((b.marked, b.in_main, link[i], b.words, prev_link, prev_words, next_link, next_words, b.heading)):
+        if classify((*place[i], b.in_main, link[i], b.words, prev_link, prev_words, next_link, next_words, b.heading)):
             out.append(b.text)
     return "\n".join(out)
 

@@ -162,6 +162,63 @@ def test_odd_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+STORY = "<h1>Of the town</h1><p>" + "The council met on Monday and spoke about the bridge. " * 5 + "</p><p>Short end.</p>"
+SAID = "Of the town\n" + ("The council met on Monday and spoke about the bridge. " * 5).strip() + "\nShort end."
+AROUND = (
+    "<header><a href=/>Home</a></header><nav><a href=/a>News</a></nav>",
+    "<div class='sidebar'>Most read this week in our paper</div><footer>All rights of the paper</footer>",
+)
+
+
+@pytest.mark.parametrize(
+    "layout",
+    [
+        "<div class='layout with-sidebar'>{0}<article>{2}</article>{1}</div>", "{0}<article class='no-skip'>{2}</article>{1}",
+        "{0}<div class='post comments-open'><article>{2}</article></div>{1}", "<form>{0}<article>{2}</article>{1}</form>",
+        "{0}<div class='share-holder-news'><main>{2}</main></div>{1}", "<body class='has-banner hidden'>{0}<article>{2}</article>{1}</body>",
+        "{0}<article>{2}<aside>Read on in our great archive</aside></article><section id=comments>"
+        + "<article class=comment><p>" + "I was there and it was not so at all. " * 4 + "</p></article>" * 3 + "</section>{1}",
+        "{0}<main><div class='post comments-open'><article>{2}</article></div><section id=comments>"
+        + "<article class=comment><p>" + "I was there and it was not so at all. " * 4 + "</p></article>" * 3 + "</section></main>{1}",
+        "{0}<div class='page sidebar-left'><article>{2}</article></div><div class=related><article><h2><a href=x>Another story</a></h2></article></div>{1}",
+        "{0}<article>{2}</article><div class=related><article><a href=x>Another story</a></article><article><a href=y>One more</a></article></div>{1}",
+    ],
+)
+def test_wrappers_named_like_furniture(layout):
+    assert html_text.main_text(layout.format(*AROUND, STORY)) == SAID
+
+
+@pytest.mark.parametrize("headline", ["", "<header><h1>The paper</h1></header>", "<h1><a href=/>The paper</a></h1>"])
+@pytest.mark.parametrize("wrap", ["layout with-sidebar", "post comments-open", "no-skip", "share-holder-news"])
+def test_wrappers_of_pages_without_an_article(wrap, headline):
+    body = "The council met on Monday and spoke for a long time about the bridge over the river. "
+    page = f"{headline}{AROUND[0]}<div class='{wrap}'><p>{body * 2}</p><p>{body * 3}</p></div>{AROUND[1]}"
+    assert html_text.main_text(page) == (body * 2).strip() + "\n" + (body * 3).strip()
+
+
+def test_tree_weighs_words_and_links():
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, int):
+            used.add(html_text.FEATURES[node[0]])
+            walk(node[2]), walk(node[3])
+
+    walk(html_text.TREE)
+    assert {"link", "words"} <= used and len(used) >= 5
+
+
+def test_html_query_on_odd_rows(spark, tmp_path):
+    rows = [(1, "u", "<article>a</article>", "x", 1), (1, "u", "<article>a</article>", "x", 1), (2, None, None, "x", 1), (None, "v", "", None, 1)]
+    rows.append((3, "w", "<article>" + "<p>b " * 30_000, "x", 1))
+    schema = "page_id bigint, url string, html string, text string, n_chars int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((str(r.page_id), str(r.url), r.text[:2], r.n_chars) for r in html_text.op3_html_text(spark, str(tmp_path)).collect())
+    assert got == [("1", "u", "a", 1), ("1", "u", "a", 1), ("2", "None", "", 0), ("3", "w", "b\n", 59_999), ("None", "v", "", 0)]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert html_text.op3_html_text(spark, f"{tmp_path}/none").count() == 0
+
+
 @pytest.mark.parametrize("page", ["<" * 100_000, "<a href='" * 30_000, "<!--" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<b " * 60_000, "&" * 100_000])
 def test_odd_pages_are_linear(page):
     import time
