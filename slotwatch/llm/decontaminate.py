@@ -98,7 +98,8 @@ def near_items(prints: DataFrame, items: DataFrame) -> DataFrame:
     """
     index = items.select("item_id", "n", *[F.col(fp).alias(f"item_{fp}") for fp in PRINTS], _blocks())
     index = index.withColumn("change", F.explode(F.lit(CHANGES))).withColumn("bits", F.col("bits").bitwiseXOR(F.col("change")))
-    found = prints.select("n", *PRINTS, _blocks()).join(index.drop("change"), ["n", "block", "bits"])
+    # The index has thousands of rows an item, which Spark's estimate does not see: never broadcast.
+    found = prints.select("n", *PRINTS, _blocks()).hint("merge").join(index.drop("change"), ["n", "block", "bits"])
     within = [F.bit_count(F.col(fp).bitwiseXOR(F.col(f"item_{fp}"))) <= RADIUS for fp in PRINTS]
     return found.where(within[0] | within[1]).select("n", *PRINTS, "item_id").distinct()
 
