@@ -31,6 +31,9 @@ EM_ROUNDS = 2
 PRIOR = 1000.0  # pseudo-counts by which the vocabulary's own scores count
 MARK = "▁"  # opens a word in the vocabulary
 NEVER = -math.inf
+LONG = 256  # characters: longer words go one by one, shorter ones side by side
+CELLS = 1 << 15  # characters laid side by side
+BEYOND = 0x110000  # stands behind a word's end: no code point
 
 
 class Lattice:
@@ -181,18 +184,152 @@ class Lattice:
         return Lattice.normalised(opening, going, byte, PRIOR * math.exp(self.stop) + n_words)
 
 
+class Pieces:
+    """The lattice as arrays, for many words at once.
+
+    Pieces are found by walking a trie whose edges ``node << 21 | code point`` are sorted;
+    node 0 opens a word, node 1 continues it. A slice of words of similar length is a matrix with a
+    column for each word, and the recursion goes from place to place over all columns.
+    """
+
+    def __init__(self, lattice: Lattice):
+        self.lattice = lattice
+        edges, at, names = {}, [], [("open", p) for p in lattice.opening] + [("go", p) for p in lattice.going]
+        node_of = {"open": 0, "go": 1}
+        for kind, piece in names:
+            node = node_of[kind]
+            for c in piece:
+                node = edges.setdefault(node << 21 | ord(c), len(edges) + 2)
+            at.append(node)
+        keys = np.fromiter(edges, np.int64, len(edges))
+        order = np.argsort(keys)
+        self.names = names
+        self.keys, self.child = keys[order], np.fromiter(edges.values(), np.int64, len(edges))[order]
+        self.piece = np.full(len(edges) + 2, -1, np.int32)  # the piece that ends at a node
+        self.piece[at] = np.arange(len(at))
+        self.logs = np.array([*lattice.opening.values(), *lattice.going.values()])
+        self.bare = names.index(("open", ""))
+        self.piece[0] = -1
+        self.widest = max(map(len, (p for _, p in names)))
+
+    def _step(self, nodes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``nodes`` have an edge for their code, and the nodes these lead to."""
+        key = nodes << 21 | codes
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        there = np.flatnonzero(self.keys[i] == key)
+        return there, self.child[i[there]]
+
+    def slices(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Places in ``words`` of those not above ``LONG`` characters, by length, about ``CELLS`` characters at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] <= LONG]
+        start = 0
+        while start < len(order):
+            # Columns as many as there is room for at the length of the longest of them.
+            end = start + max(1, int(np.searchsorted(sizes[order[start:]] * np.arange(1, len(order) - start + 1), CELLS, "right")))
+            yield order[start:end]
+            start = end
+
+    def forward(self, words: list[str]) -> tuple:
+        """Log probabilities of ``words`` without their ends, and for each place and piece ending
+        there the share it has in reaching that place."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        w, n = len(words), int(sizes.max())
+        codes = np.full((w, n), BEYOND, np.int64)
+        codes[np.arange(n) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        codes = codes.T.ravel()  # a row for each place
+        widest = min(self.widest, n)
+        # ways[t, widest - l]: a piece of l characters that ends after place t; the last row: one that opens the word.
+        ways = np.full((n, widest + 1, w), NEVER)
+        flat, found, ids = ways.ravel(), [], []
+
+        def walk(cells: np.ndarray, nodes: np.ndarray, opening: bool) -> None:
+            for l in range(1, widest + 1):
+                inside = cells + (l - 1) * w < len(codes)
+                cells, nodes = cells[inside], nodes[inside]
+                there, nodes = self._step(nodes, codes[cells + (l - 1) * w])
+                cells = cells[there]
+                if not len(cells):
+                    break
+                piece = self.piece[nodes]
+                ends = np.flatnonzero(piece >= 0)
+                place, column = np.divmod(cells[ends] + (l - 1) * w, w)
+                target = (place * (widest + 1) + (widest if opening else widest - l)) * w + column
+                flat[target] = self.logs[piece[ends]]
+                found.append(target)
+                ids.append(piece[ends])
+
+        walk(np.arange(len(codes)), np.ones(len(codes), np.int64), False)
+        walk(np.arange(w), np.zeros(w, np.int64), True)
+        # Characters that are no piece go by their bytes; what lies behind a word's end costs nothing.
+        single = ways[:, widest - 1, :]
+        lone = np.flatnonzero(single.ravel() == NEVER)
+        chars, which = np.unique(codes[lone], return_inverse=True)
+        costs = np.array([0.0 if c == BEYOND else self.lattice._bytes(chr(c)) for c in chars.tolist()])
+        place, column = np.divmod(lone, w)
+        by_bytes = (place * (widest + 1) + widest - 1) * w + column
+        flat[by_bytes] = costs[which]
+        reached = np.full((widest + n + 1, w), NEVER)
+        reached[widest] = self.logs[self.bare]
+        for t in range(n):
+            here = ways[t]
+            here[:widest] += reached[t + 1 : t + 1 + widest]
+            top = here.max(axis=0)
+            here -= top
+            np.exp(here, out=here)
+            total = here.sum(axis=0)
+            here /= total
+            reached[widest + t + 1] = top + np.log(total)
+        scores = reached[widest + sizes, np.arange(w)]
+        return scores, ways, sizes, (np.concatenate(found) if found else lone[:0], np.concatenate(ids) if ids else lone[:0]), (by_bytes, chars, which)
+
+    def log_probs(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        for i in self.slices(words):
+            out[i] = self.forward([words[j] for j in i])[0] + self.lattice.stop
+        for j, word in enumerate(words):
+            if len(word) > LONG:
+                out[j] = self.lattice.log_prob(word)
+        return out
+
+    def expected(self, words: list[str], times: list[float], uses: np.ndarray, byte: list[float]) -> None:
+        """Add the expected uses of each piece in ``words``, each counted ``times``: what reaches a word's end
+        is dealt back to the pieces by their shares."""
+        every = np.asarray(times, float)
+        for i in self.slices(words):
+            _, ways, sizes, (found, ids), (by_bytes, chars, which) = self.forward([words[j] for j in i])
+            n, rows, w = ways.shape
+            through = np.zeros((rows + n, w))  # row widest + t: what passes place t
+            through[rows - 1 + sizes, np.arange(w)] = every[i]
+            for t in range(n - 1, -1, -1):
+                ways[t] *= through[rows + t]
+                through[t + 1 : t + rows] += ways[t, :-1]
+            flat = ways.ravel()
+            uses += np.bincount(ids, flat[found], len(uses))
+            uses[self.bare] += through[rows - 1].sum()
+            for c, u in zip(chars.tolist(), np.bincount(which, flat[by_bytes], len(chars)).tolist()):
+                for b in chr(c).encode() if c != BEYOND else b"":
+                    byte[b] += u
+        long = [(word, c) for word, c in zip(words, times) if len(word) > LONG]
+        if long:
+            opening, going = dict.fromkeys(self.lattice.opening, 0.0), dict.fromkeys(self.lattice.going, 0.0)
+            for word, c in long:
+                self.lattice.expected(word, opening, going, byte, c)
+            uses += np.array([*opening.values(), *going.values()])
+
+
 def _expected_counts(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = model.value
-        opening, going, byte = dict.fromkeys(lattice.opening, 0.0), dict.fromkeys(lattice.going, 0.0), [0.0] * 256
+        pieces = model.value
+        uses, byte = np.zeros(len(pieces.names)), [0.0] * 256
         for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                lattice.expected(word, opening, going, byte, c)
-        rows = [("open", p, u) for p, u in opening.items()] + [("go", p, u) for p, u in going.items()]
-        rows += [("byte", str(b), u) for b, u in enumerate(byte)]
-        kinds, pieces, uses = zip(*rows) if rows else ((), (), ())
+            pieces.expected(batch.column("word").to_pylist(), batch.column("c").to_pylist(), uses, byte)
+        rows = [(*pieces.names[i], uses[i]) for i in np.flatnonzero(uses)]
+        rows += [("byte", str(b), u) for b, u in enumerate(byte) if u]
+        kinds, names, counts = zip(*rows) if rows else ((), (), ())
         yield pa.record_batch(
-            [pa.array(kinds, pa.string()), pa.array(pieces, pa.string()), pa.array(uses, pa.float64())],
+            [pa.array(kinds, pa.string()), pa.array(names, pa.string()), pa.array(counts, pa.float64())],
             names=["kind", "piece", "uses"],
         )
 
@@ -201,9 +338,9 @@ def _expected_counts(model) -> object:
 
 def _lattice_scores(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = model.value
+        pieces = model.value
         for batch in batches:
-            scores = [lattice.log_prob(w) for w in batch.column("word").to_pylist()]
+            scores = pieces.log_probs(batch.column("word").to_pylist())
             yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(scores, pa.float64())], names=["word", "c", "lattice"])
 
     return run
@@ -292,11 +429,15 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY, em_rounds: int =
     }
     lattice = Lattice.from_vocabulary(vocabulary)
     for _ in range(em_rounds if got["types"] else 0):
-        uses = words.where("c > 0").mapInArrow(_expected_counts(sc.broadcast(lattice)), "kind string, piece string, uses double")
+        pieces = sc.broadcast(Pieces(lattice))
+        uses = words.where("c > 0").mapInArrow(_expected_counts(pieces), "kind string, piece string, uses double")
         # At most one row a piece of the vocabulary.
         uses = uses.groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).collect()
+        pieces.destroy()
         lattice = lattice.refined([tuple(r) for r in uses], got["tokens"])
-    scored = stage(words.mapInArrow(_lattice_scores(sc.broadcast(lattice)), "word string, c bigint, lattice double"), "lm-scored")
+    pieces = sc.broadcast(Pieces(lattice))
+    scored = stage(words.mapInArrow(_lattice_scores(pieces), "word string, c bigint, lattice double"), "lm-scored")
+    pieces.destroy()
     lookup = found.select("chunk", "word").join(scored, "word")
     return rows.groupBy("chunk").cogroup(lookup.groupBy("chunk")).applyInArrow(
         _scorer(stats),

@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from slotwatch.llm import lattice_lm as lm
@@ -60,6 +61,26 @@ def test_any_length(lattice):
     assert sum(opening.values()) == pytest.approx(1) and -1e6 < lattice.log_prob(word) < -1000
 
 
+WORDS = ["a", "the", "thing", "worthless", "aéx", "漢字", "😀b", "$$$,", "\0x", "▁▁", "ab" * 60, "xyz" * 300, "walking", "q" * 256, "q" * 257]
+
+
+def test_words_side_by_side_are_words_one_by_one(lattice, monkeypatch):
+    words, times = WORDS * 3, [i % 4 + 1 for i in range(3 * len(WORDS))]
+    opening, going, byte = dict.fromkeys(lattice.opening, 0.0), dict.fromkeys(lattice.going, 0.0), [0.0] * 256
+    for word, c in zip(words, times):
+        lattice.expected(word, opening, going, byte, c)
+    for cells in (lm.CELLS, 40):
+        monkeypatch.setattr(lm, "CELLS", cells)
+        pieces = lm.Pieces(lattice)
+        assert sorted(j for i in pieces.slices(words) for j in i) == [j for j, w in enumerate(words) if len(w) <= lm.LONG]
+        assert pieces.log_probs(words).tolist() == pytest.approx([lattice.log_prob(w) for w in words], abs=1e-9)
+        uses, by_bytes = np.zeros(len(pieces.names)), [0.0] * 256
+        pieces.expected(words, times, uses, by_bytes)
+        assert uses.tolist() == pytest.approx([*opening.values(), *going.values()], abs=1e-9)
+        assert by_bytes == pytest.approx(byte, abs=1e-9)
+        assert pieces.log_probs([]).tolist() == []
+
+
 def test_distributions_sum_to_one(lattice):
     refined = lattice.refined([("open", "th", 5.0), ("go", "ing", 7.0), ("byte", "65", 1.0)], 5)
     for m in (lattice, refined):
