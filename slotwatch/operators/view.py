@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from slotwatch.functions import classify as C
 from slotwatch.operators.ordered import rank_within
 
+PLACE_BLOCK = 1 << 17  # places of a log that lie in one folder of a place index
+
 
 def _band(start: str, end: str, warn: float, bad: float) -> Column:
     ms = C.delta_us(start, end) / F.lit(1000.0)
@@ -89,6 +91,22 @@ def page(df: DataFrame, offset: int, limit: int, levels: list[list[Column]], lea
     return page_at(rank_within(df, ["log_id"], levels, leaf, "place"), offset, limit)
 
 
+def place_index(placed: DataFrame, block: int = PLACE_BLOCK) -> DataFrame:
+    """``placed`` laid out for pages: to be written in folders by ``place_block``, each with its places in order.
+
+    A block of one log is a file of its own unless blocks are small, and its row groups carry
+    the bounds of their places.
+    """
+    blocks = placed.withColumn("place_block", F.call_function("div", F.col("place") - 1, F.lit(block).cast("bigint")))
+    return blocks.repartition("place_block", "log_id").sortWithinPartitions("place_block", "log_id", "place")
+
+
+def indexed_page(index: DataFrame, offset: int, limit: int, block: int = PLACE_BLOCK) -> DataFrame:
+    """A page from a stored place index: only the folders that hold its places are opened."""
+    first, last = offset // block, (offset + max(limit, 1) - 1) // block
+    return page_at(index.where(F.col("place_block").between(first, last)), offset, limit).drop("place_block")
+
+
 def slot_durations(slots: DataFrame) -> DataFrame:
     """First-shred to first-shred time of directly adjacent slots.
 

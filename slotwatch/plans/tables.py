@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from slotwatch.operators import ancestry, buckets, gaps, health, issues, latency
 from slotwatch.operators import slots as S
 from slotwatch.operators import view as V
 from slotwatch.operators import windows as W
+from slotwatch.operators.ordered import rank_within
 from slotwatch.plans.report import summary_report
 from slotwatch.session import fresh_path, prepare
 from slotwatch.sources.lines import file_meta
@@ -33,6 +35,7 @@ class LogTables:
         self.lines = lines
         self.store = (store or fresh_path(self.spark, "logtables")).rstrip("/")
         self._buckets: dict[int, DataFrame] = {}
+        self._indexes: dict[str, DataFrame] = {}
 
     def _stage(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
         # Not partitioned by log: a log id may be empty or longer than a folder name, and
@@ -166,14 +169,27 @@ class LogTables:
     def filtered_view(self, **flags: bool) -> DataFrame:
         return V.filter_slots(self.slot_view(), **flags)
 
-    def slot_page(self, offset: int, limit: int) -> DataFrame:
-        """A page of every log's own slot list."""
-        at = [F.shiftright("slot", 16)]
-        return V.page(self.slot_view(), offset, limit, levels=[at], leaf=[F.col("slot")])
+    def _places(self, name: str, placed: Callable[[], DataFrame]) -> DataFrame:
+        """The place index of a list, built when its first page is asked for."""
+        if name not in self._indexes:
+            self._indexes[name] = self._stage(f"{name}_places", V.place_index(placed()), by="place_block")
+        return self._indexes[name]
+
+    def slot_page(self, offset: int, limit: int, **flags: bool) -> DataFrame:
+        """A page of every log's own slot list, or of its slots that satisfy the flags of
+        :meth:`filtered_view`. The list is ranked and stored once; a page opens the files
+        that hold its places."""
+
+        def placed() -> DataFrame:
+            by_slot = [F.shiftright("slot", 16)]
+            return rank_within(self.filtered_view(**flags), ["log_id"], [by_slot], [F.col("slot")], "place")
+
+        name = "_".join(["slots", *sorted(f for f, on in flags.items() if on)])
+        return V.indexed_page(self._places(name, placed), offset, limit)
 
     def incident_page(self, offset: int, limit: int) -> DataFrame:
         """A page of every log's own incidents, longest first."""
-        return V.page_at(self.incidents(), offset, limit)
+        return V.indexed_page(self._places("incidents", self.incidents), offset, limit)
 
     def leader_summary(self) -> DataFrame:
         return A.leader_summary(self.rare_events, self.outcomes)
