@@ -10,7 +10,7 @@ labelled rows (``TRAIN_ROWS`` of each class, by hash of the id, of texts up to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -240,12 +240,12 @@ def train(texts: list[bytes], labels: list[int], epochs: int | None = None, seed
     return net
 
 
-def set_cut(net: Network, texts: list[bytes], labels: list[int], share: float) -> None:
+def set_cut(net: Network, logits: np.ndarray, labels: list[int], share: float) -> None:
     """Shift the logits so that 0 is the best cut on the sample for a true share of label 1.
 
     The cut lies midway in the widest stretch of logits with the fewest weighted errors.
     """
-    y, z = np.array(labels), net.logits(texts)
+    y, z = np.array(labels), np.asarray(logits)
     if not len(y) or y.min() == y.max():
         return
     weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
@@ -266,50 +266,62 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Network:
     """Train on at most ``rows`` labelled texts of each class that are not held out.
 
-    Labels that are null, or whose id is null or has no document, are left out; of repeated ids
-    one row is taken.
+    The share of label 1 and the cut follow whole texts of any length, which tasks score. A clean text above
+    ``chars`` code points teaches by an excerpt of that length, drawn by hash; a toxic one does not
+    teach, as nobody said where in it the toxic part is. Labels that are null, or whose id is null or
+    has no document, are left out; of repeated ids one label is taken, and the least text.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    short = docs.where(F.length(text_of()) <= chars).select("doc_id")
-    known = stage(known.join(short, "doc_id", "left_semi"), "tox-known")
+    known = stage(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "tox-known")
     share = known.agg(F.avg("toxic").alias("share")).first()["share"]
     picked = None
     for label in (0, 1):
         top = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = top if picked is None else picked.unionByName(top)
-    # At most 2 * rows ids, each with a text of at most `chars`.
-    sample = docs.where(F.length(text_of()) <= chars).select("doc_id", text_of().alias("text")).join(F.broadcast(stage(picked, "tox-picked")), "doc_id")
-    got = {r["doc_id"]: (r["text"].encode().lower(), r["toxic"]) for r in sample.collect()}
-    texts, y = [got[k][0] for k in sorted(got)], [got[k][1] for k in sorted(got)]
-    net = train(texts, y)
-    if y:
-        set_cut(net, texts, y, min(max(share, 0.01), 0.5))
+    # At most 2 * rows ids.
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(stage(picked, "tox-picked")), "doc_id")
+    sample = stage(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "tox-sample")
+    size = F.length("text")
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(size - F.lit(chars), F.lit(0)) + 1).cast("int") + 1
+    teaching = sample.where((size <= chars) | (F.col("toxic") == 0)).select("doc_id", "toxic", F.substring("text", place, F.lit(chars)).alias("text"))
+    got = sorted((r["doc_id"], r["text"].encode().lower(), r["toxic"]) for r in teaching.collect())
+    net = train([text for _, text, _ in got], [y for _, _, y in got])
+    # One number for each text of the sample.
+    found = {r["doc_id"]: r["value"] for r in _valued(sample, net, lambda z: z).collect()}
+    labelled = sorted((r["doc_id"], r["toxic"]) for r in sample.select("doc_id", "toxic").collect())
+    if labelled:
+        set_cut(net, np.array([found[d] for d, _ in labelled]), [y for _, y in labelled], min(max(share, 0.01), 0.5))
         net.empty = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     return net
 
 
-def scores(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` ``[doc_id, text]`` as ``[doc_id, h, score]``, ``h`` being a hash of the text.
-
-    Null and empty texts get the share of toxic texts in training; repeated rows the same score
-    each; other columns are ignored and an empty table gives an empty result.
-    """
+def _valued(docs: DataFrame, net: Network, final: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``[doc_id, h, value]``: ``final`` of the logit of each whole text, and a hash of the text."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             for first, texts in hashing.slices((t.as_py() or "").encode().lower() for t in column):
-                value = _sigmoid(sent.value.logits(texts))
+                value = final(sent.value.logits(texts))
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(first, len(texts)), batch.column("h").slice(first, len(texts)), pa.array(value, pa.float64())],
-                    names=["doc_id", "h", "score"],
+                    names=["doc_id", "h", "value"],
                 )
 
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, h bigint, score double")
+    return rows.mapInArrow(run, "doc_id bigint, h bigint, value double")
+
+
+def scores(docs: DataFrame, net: Network) -> DataFrame:
+    """``docs`` ``[doc_id, text]`` as ``[doc_id, h, score]``, ``h`` being a hash of the text.
+
+    Null and empty texts get the share of toxic texts in training; repeated rows the same score
+    each; other columns are ignored and an empty table gives an empty result.
+    """
+    return _valued(docs, net, _sigmoid).withColumnRenamed("value", "score")
 
 
 def drop_toxic(docs: DataFrame, net: Network, cut: float = 0.5) -> DataFrame:

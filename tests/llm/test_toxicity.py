@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -70,8 +71,6 @@ def test_held_out_accuracy_and_tables(spark):
     labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows] + [(None, 1), (5, None), (12345, 1), (0, 1)], "doc_id bigint, toxic int")
     net = X.fit(docs, labels)
     got = {r.doc_id: r.score for r in X.scores(docs, net).collect()}
-    import zlib
-
     held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(held) > 100
     assert sum((got[i] >= 0.5) == y for i, y in held) / len(held) >= 0.97
@@ -82,3 +81,19 @@ def test_held_out_accuracy_and_tables(spark):
     assert X.scores(docs.limit(0), net).count() == 0
     empty = X.fit(docs, labels.limit(0))
     assert all(0 <= r.score <= 1 for r in X.scores(docs.limit(20), empty).collect())
+
+
+def test_long_texts_count_in_share_and_cut(spark):
+    """Texts above ``chars`` are half of all clean ones and some of the toxic ones."""
+    rng = random.Random(4)
+    rows = [(i, sample(rng, i, i % 3 == 0, (300, 400) if i % 2 else (20, 60)), i % 3 == 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id bigint, toxic int")
+    net = X.fit(docs, labels, chars=500)
+    known = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    share = sum(known) / len(known)
+    assert net.empty == pytest.approx(np.log(share / (1 - share)))
+    got = {r.doc_id: r.score >= 0.5 for r in X.scores(docs, net).collect()}
+    for long in (True, False):
+        mine = [(i, y) for i, t, y in rows if (len(t) > 500) == long]
+        assert len(mine) > 100 and sum(got[i] == y for i, y in mine) / len(mine) >= 0.9
