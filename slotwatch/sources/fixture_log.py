@@ -16,6 +16,8 @@ from slotwatch.operators import parse as P
 FIRST_SLOT = 1_000_000
 COMPRESSED_START_US = 1_704_067_200_000_000
 NODE_KEY = "NodeKey"
+LINES_PER_ID = 32  # places in the arrival order that an event's lines may take
+EVENTS_PER_TASK = 50_000  # about 350,000 lines
 
 
 def slot_hash(slot: Column) -> Column:
@@ -24,7 +26,12 @@ def slot_hash(slot: Column) -> Column:
     return F.rpad(F.concat(F.lit("H"), letters), 44, "z")
 
 
-def _base(events: DataFrame, last_slot: Column) -> DataFrame:
+def log_of(event_id: Column) -> Column:
+    """The log that an event's lines are in."""
+    return F.concat(F.lit("log"), (event_id % 2).cast("string"))
+
+
+def _base(events: DataFrame, last_slot: Column, *keep: str) -> DataFrame:
     div = lambda a, b: F.call_function("div", a, F.lit(b))
     step = events.select(
         F.col("event_id").alias("id"),
@@ -35,6 +42,7 @@ def _base(events: DataFrame, last_slot: Column) -> DataFrame:
         F.col("user_id"),
         F.col("event_type").alias("et"),
         F.col("props"),
+        *keep,
     )
     compressed = F.lit(COMPRESSED_START_US) + (F.col("slot") - FIRST_SLOT) * 1_200_000 + F.col("k") * 500
     return step.select(
@@ -45,7 +53,8 @@ def _base(events: DataFrame, last_slot: Column) -> DataFrame:
         "user_id",
         "et",
         "props",
-        F.concat(F.lit("log"), F.col("ln").cast("string")).alias("log_id"),
+        *keep,
+        log_of(F.col("id")).alias("log_id"),
         F.when(F.col("ln") == 0, compressed).otherwise(F.col("real_us")).alias("t"),
         (F.lit(300_000) + F.col("k") * 300).alias("a"),
         (F.lit(100_000) + F.col("k") * 600).alias("c"),
@@ -58,9 +67,10 @@ def _base(events: DataFrame, last_slot: Column) -> DataFrame:
     )
 
 
-def render(events: DataFrame, last_slot: Column) -> DataFrame:
-    """``lines[log_id, seq, line]`` for the given event rows (narrow, no shuffle)."""
-    base = _base(events, last_slot)
+def render(events: DataFrame, last_slot: Column, *keep: str) -> DataFrame:
+    """``lines[log_id, seq, line]`` for the given event rows (narrow, no shuffle), with the columns ``keep`` of
+    the event. An event's lines come in the order of their ``seq``."""
+    base = _base(events, last_slot, *keep)
     c = F.col
     txt = lambda x: x.cast("string")
     slot, parent = txt(c("slot")), txt(c("parent"))
@@ -173,6 +183,9 @@ def render(events: DataFrame, last_slot: Column) -> DataFrame:
     add(28, (c("ln") == 1) & (c("slot") == c("last_slot") - 20), t, votor("Extending timeouts starting at slot ", slot))
 
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    # Lines that are not well-formed records: a continuation line and a bad level.
+    add(22, c("id") % 50 == 0, t, F.lit("  wrapped: {1: 2}"), "app::idle", "")
+    add(23, c("id") % 97 == 0, t, F.lit("  wrapped: {1: 2}"), "app::idle", "LOUD")
     records = [
         F.when(
             when,
@@ -184,25 +197,12 @@ def render(events: DataFrame, last_slot: Column) -> DataFrame:
                 body.alias("body"),
             ),
         )
-        for order, when, at, level, module, body in spec
+        for order, when, at, level, module, body in sorted(spec, key=lambda s: s[0])
     ]
-    # Lines that are not well-formed records: a continuation line and a bad level.
-    odd = lambda order, when, level: F.when(
-        when,
-        F.struct(
-            F.lit(order).alias("ord"),
-            t.alias("us"),
-            F.lit(level).alias("level"),
-            F.lit("app::idle").alias("module"),
-            F.lit("  wrapped: {1: 2}").alias("body"),
-        ),
-    )
-    records.append(odd(22, c("id") % 50 == 0, ""))
-    records.append(odd(23, c("id") % 97 == 0, "LOUD"))
 
     rows = base.select(
         "*", slot_hash(c("slot")).alias("h"), slot_hash(c("parent")).alias("ph")
-    ).select("id", "log_id", F.inline(F.array_compact(F.array(*records))))
+    ).select("id", "log_id", *keep, F.inline(F.array_compact(F.array(*records))))
     # Nine digits: six of the microsecond plus three that depend on the row.
     stamp = F.concat(
         F.date_format(F.timestamp_micros(c("us")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
@@ -213,22 +213,32 @@ def render(events: DataFrame, last_slot: Column) -> DataFrame:
     line = F.when(c("level") == "", c("body")).otherwise(
         F.concat(F.lit("["), stamp, F.lit(" "), c("level"), gap, c("module"), F.lit("] "), c("body"))
     )
-    return rows.select("log_id", (c("id") * 32 + c("ord")).cast("bigint").alias("seq"), line.alias("line"))
+    return rows.select("log_id", (c("id") * LINES_PER_ID + c("ord")).cast("bigint").alias("seq"), line.alias("line"), *keep)
 
 
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "props")
 
 
-def fixture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rendered log of one test-data folder."""
+def read_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    """The event rows of one test-data folder, and the last slot of the second log."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(*EVENT_COLUMNS)
     # The highest odd id names the last slot of the second log.
     last = events.agg(F.max(F.when(F.col("event_id") % 2 == 1, F.col("event_id"))).alias("m")).select(
         (F.lit(FIRST_SLOT) + F.call_function("div", F.col("m"), F.lit(2))).alias("last_slot")
     )
-    # A small table is one file and would be rendered by one task; its compact rows are
-    # spread first. Larger tables already have a split per core.
-    cores = spark.sparkContext.defaultParallelism
-    if len(events.inputFiles()) < cores and events.rdd.getNumPartitions() < cores:
-        events = events.repartition(cores)
-    return render(events, last.scalar())
+    return events, last.scalar()
+
+
+def render_tasks(events: DataFrame) -> int:
+    """Tasks to render by: a core each, and more where one would get more than ``EVENTS_PER_TASK``.
+    The rows are counted from the file's footer."""
+    return max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // EVENTS_PER_TASK))
+
+
+def fixture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered log of one test-data folder."""
+    events, last_slot = read_events(spark, sf_dir)
+    # A file may have fewer row groups than splits, so how many tasks get rows does not show in the plan. The compact
+    # rows are spread by their place in the scan, which needs no sort and deals out equal rows as well.
+    spread = events.withColumn("_row", F.monotonically_increasing_id()).repartition(render_tasks(events), "_row").drop("_row")
+    return render(spread, last_slot)

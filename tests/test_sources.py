@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+from datetime import datetime, timedelta
 
+import pytest
 from conftest import HASH, SF, votor
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from slotwatch import LogTables, read_log_lines
 from slotwatch.operators import parse as P
 from slotwatch.operators import slots as S
 from slotwatch.operators.sizing import join_small
+from slotwatch.sources import fixture_log as fixture
 from slotwatch.sources.lines import file_meta
 from slotwatch.streaming import jobs
 
@@ -130,3 +133,43 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() == 2
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert SF == entry.SMOKE_DIR
+
+
+@pytest.fixture
+def events_dir(spark, tmp_path):
+    """Writes an events table of one row group in ever so many splits."""
+
+    def write(rows):
+        path = str(tmp_path / "events.parquet")
+        kinds = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(path)
+        return str(tmp_path)
+
+    return write
+
+
+def made_events(ids):
+    kinds = ["view", "click", "purchase", "signup", "error"]
+    start = datetime(2024, 1, 1)
+    return [(i, start + timedelta(seconds=i), k % 90, kinds[k * 7 % 5], 1.0, f'{{"k": {k}}}') for k, i in enumerate(ids)]
+
+
+def rows_by_task(df):
+    return [n for _, n in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_one_row_group_is_rendered_by_many_tasks(spark, events_dir, monkeypatch):
+    """A file may have more splits than row groups; its events are dealt out all the same, equal ones too."""
+    folder = events_dir(made_events(range(400)) + made_events([7])[:1] * 400)
+    monkeypatch.setattr(fixture, "EVENTS_PER_TASK", 50, raising=False)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "512")
+        assert spark.read.parquet(f"{folder}/events.parquet").rdd.getNumPartitions() > 4
+        lines = fixture.fixture_log(spark, folder)
+        n = rows_by_task(lines)
+        assert len(n) >= 14 and max(n) < 0.2 * sum(n)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
