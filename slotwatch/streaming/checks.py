@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotwatch.operators.ordered import rank_within
 from slotwatch.operators.parse import PAYLOAD, parse_lines
+from slotwatch.operators.sizing import join_small
 from slotwatch.session import fresh_path, prepare
-from slotwatch.sources.fixture_log import EVENT_COLUMNS, FIRST_SLOT, fixture_log, render
+from slotwatch.sources.fixture_log import (
+    EVENT_COLUMNS,
+    FIRST_SLOT,
+    LINES_PER_ID,
+    fixture_log,
+    log_of,
+    read_events,
+    render,
+    render_tasks,
+)
 from slotwatch.sources.lines import file_meta, read_log_lines
 from slotwatch.streaming import jobs, live
 
+LOGS = 3  # of a rendered log at most: ids are even, odd, or odd and negative
+FILES_PER_LOG = 3
+
 
 def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered log as a stream over the ``events`` file."""
@@ -25,8 +38,8 @@ def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .parquet(sf_dir)
         .select(*EVENT_COLUMNS)
     )
-    # One small file is one task; its compact rows are spread before they become lines.
-    stream = stream.repartition(spark.sparkContext.defaultParallelism)
+    # One file may be one task; its compact rows are spread before they become lines.
+    stream = stream.repartition(render_tasks(events), *EVENT_COLUMNS)
     return render(stream, F.lit(FIRST_SLOT + last_id // 2).cast("bigint"))
 
 
@@ -40,17 +53,44 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``[log_id, part, value]``: the rendered log with the file of each line, a file in one task and in arrival order.
+
+    A file is written by one task, but its lines are not sorted there: the compact events are, and their lines are
+    rendered in that order while they are written. Of an id that comes more than once every event is sorted once
+    for each place that its lines may take, so that lines of equal ids mix as their positions ask. An
+    event whose lines lie in two files goes to both, and each keeps its own.
+    """
+    events, last_slot = read_events(spark, sf_dir)
+    log, seq = Window.orderBy("log_id"), F.col("event_id") * LINES_PER_ID
+    cuts = fixture_log(spark, sf_dir).groupBy("log_id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    cuts = cuts.where("log_id is not null").withColumn("log", (F.row_number().over(log) - 1).cast("int"))
+
+    def part(seq: Column) -> Column:
+        share = ((seq - F.col("lo")) * FILES_PER_LOG / (F.col("hi") - F.col("lo") + 1)).cast("int")
+        return F.least(F.greatest(share, F.lit(0)), F.lit(FILES_PER_LOG - 1))
+
+    several = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("event_id", F.lit(True).alias("several"))
+    places = F.when(F.col("several"), F.sequence(F.lit(0), F.lit(LINES_PER_ID - 1))).otherwise(F.array(F.lit(None).cast("int")))
+    placed = (
+        join_small(events, several, ["event_id"], "left")
+        .withColumn("log_id", log_of(F.col("event_id")))
+        .join(F.broadcast(cuts), "log_id")
+        .withColumn("part", F.explode(F.sequence(part(seq), part(seq + LINES_PER_ID - 1))))
+        .withColumn("place", F.explode(places))
+    )
+    ordered = placed.repartitionById(LOGS * FILES_PER_LOG, F.col("log") * FILES_PER_LOG + F.col("part")).sortWithinPartitions(
+        "log_id", "part", "event_id", "place", *EVENT_COLUMNS[1:]
+    )
+    here = F.coalesce(F.pmod("seq", F.lit(LINES_PER_ID)) == F.col("place"), F.lit(True)) & (part(F.col("seq")) == F.col("part"))
+    lines = render(ordered.drop("log_id"), last_slot, "part", "place", "lo", "hi").where(here)
+    return lines.select("log_id", "part", F.col("line").alias("value"))
+
+
 def rendered_files(spark: SparkSession, sf_dir: str) -> str:
     """The rendered log as text files, several for each log, in arrival order by name."""
     out = fresh_path(prepare(spark), "text-logs")
-    rows = fixture_log(spark, sf_dir).select("log_id", F.col("seq"), F.col("line"))
-    cuts = rows.groupBy("log_id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    part = F.least(((F.col("seq") - F.col("lo")) * 3 / (F.col("hi") - F.col("lo") + 1)).cast("int"), F.lit(2))
-    placed = rows.join(F.broadcast(cuts), "log_id").select("log_id", part.alias("part"), "seq", F.col("line").alias("value"))
-    # One task a file: the rendered test log is small, and a file is written in order.
-    placed.repartition(8, "log_id", "part").sortWithinPartitions("log_id", "part", "seq").drop("seq").write.partitionBy(
-        "log_id", "part"
-    ).text(out)
+    file_lines(spark, sf_dir).write.partitionBy("log_id", "part").text(out)
     return out
 
 

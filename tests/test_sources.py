@@ -15,6 +15,7 @@ from slotwatch.operators import slots as S
 from slotwatch.operators.sizing import join_small
 from slotwatch.sources import fixture_log as fixture
 from slotwatch.sources.lines import file_meta
+from slotwatch.streaming import checks as streamed
 from slotwatch.streaming import jobs
 
 
@@ -173,3 +174,35 @@ def test_one_row_group_is_rendered_by_many_tasks(spark, events_dir, monkeypatch)
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_lines_of_a_file_come_in_order_from_sorted_events(spark, events_dir):
+    """Also those of ids that repeat; no line is sorted."""
+    ids = [*range(60), *[5] * 7, 5, 8, 8, 21, *range(-30, 0)]
+    folder = events_dir(made_events(ids))
+    files = streamed.file_lines(spark, folder)
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Sort [")  # the plan is printed from its end
+    lines = fixture.fixture_log(spark, folder).collect()
+    found = [(r.log_id, r.part, r.value) for r in files.collect()]
+    assert len({(r.log_id, r.part) for r in files.select("log_id", "part").distinct().collect()}) == 9
+    for log in {r.log_id for r in lines}:
+        of = sorted((r.seq, r.line) for r in lines if r.log_id == log)
+        lo, hi = of[0][0], of[-1][0]
+        part = [min((seq - lo) * 3 // (hi - lo + 1), 2) for seq, _ in of]
+        # Lines at one position come in any order.
+        place = {}
+        for (seq, line), p in zip(of, part):
+            place.setdefault((p, line), []).append(seq)
+        for p in range(3):
+            mine = [value for lg, q, value in found if (lg, q) == (log, p)]
+            assert sorted(mine) == sorted(line for (_, line), q in zip(of, part) if q == p)
+            at = -(2**63)
+            for value in mine:
+                at = min(x for x in place[p, value] if x >= at)
+                place[p, value].remove(at)
+    written = streamed.rendered_files(spark, folder)
+    read = streamed._read_files(spark, written)
+    assert read.count() == len(lines)
+    paths = spark.read.text(written).select("log_id", "part", F.input_file_name().alias("path")).distinct()
+    assert sorted(r[:2] for r in paths.collect()) == [(log, p) for log in ("log-1", "log0", "log1") for p in range(3)]
