@@ -149,9 +149,10 @@ def streamed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shuffled_stream(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
     """The rendered log as a stream of several batches, each with lines from all over the log."""
     out = fresh_path(prepare(spark), "stream-lines")
-    lines = fixture_log(spark, sf_dir).select("log_id", "seq", "line")
-    lines.withColumn("_file", F.pmod(F.xxhash64("log_id", "seq"), F.lit(batches))).repartitionByRange(batches, "_file").drop("_file").write.parquet(out)
-    return spark.readStream.schema("log_id string, seq bigint, line string").option("maxFilesPerTrigger", 1).parquet(out)
+    # A batch has as many files as it takes to keep them small.
+    files = -(-render_tasks(read_events(spark, sf_dir)[0]) // batches)
+    fixture_log(spark, sf_dir).repartition(batches * files, "log_id", "seq").write.parquet(out)
+    return spark.readStream.schema("log_id string, seq bigint, line string").option("maxFilesPerTrigger", files).parquet(out)
 
 
 def streamed_standstill(spark: SparkSession, sf_dir: str) -> DataFrame:

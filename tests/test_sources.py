@@ -206,3 +206,18 @@ def test_lines_of_a_file_come_in_order_from_sorted_events(spark, events_dir):
     assert read.count() == len(lines)
     paths = spark.read.text(written).select("log_id", "part", F.input_file_name().alias("path")).distinct()
     assert sorted(r[:2] for r in paths.collect()) == [(log, p) for log in ("log-1", "log0", "log1") for p in range(3)]
+
+
+def test_shuffled_stream_reads_small_files_in_four_batches(spark, monkeypatch, sample_lines, tmp_path):
+    monkeypatch.setattr(fixture, "EVENTS_PER_TASK", 50, raising=False)
+    stream = streamed._shuffled_stream(spark, SF)
+    sizes = []
+
+    def save(batch, _):
+        sizes.append([n for _, n in batch.groupBy(F.input_file_name()).count().collect()])
+
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    total = sum(map(sum, sizes))
+    assert total == sample_lines.count()
+    assert len(sizes) == 4 and all(0.2 * total < sum(s) < 0.3 * total for s in sizes)
+    assert max(map(max, sizes)) < 0.1 * total
