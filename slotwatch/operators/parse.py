@@ -131,20 +131,24 @@ def _ladder(branches: list[tuple[Column, Column]]) -> Column:
     return out
 
 
-def _kinds_with(field: str) -> list[str]:
-    return [r.kind for r in RULES if field in r.fields]
+# A kind is a number, its place in EVENT_KINDS, until the last step: lines are tested for it many times.
+_NUMBER_OF = {kind: i for i, kind in enumerate(EVENT_KINDS)}
+
+
+def _kinds_with(field: str) -> list[int]:
+    return [_NUMBER_OF[r.kind] for r in RULES if field in r.fields]
 
 
 def _candidate() -> Column:
-    """The kind whose leading words the text has: the module first, then the words."""
+    """Number of the kind whose leading words the text has: the module first, then the words."""
 
     def words(modules: tuple[str, ...]) -> Column:
         tests = [
-            (F.col("text").startswith(r.prefix), F.lit(r.kind)) for r in RULES if r.modules == modules
+            (F.col("text").startswith(r.prefix), F.lit(_NUMBER_OF[r.kind])) for r in RULES if r.modules == modules
         ]
         if modules == _V:
             # A bare first word: anything may follow it after a space.
-            tests.append((F.substring_index("text", " ", 1) == "SetIdentity", F.lit("SetIdentity")))
+            tests.append((F.substring_index("text", " ", 1) == "SetIdentity", F.lit(_NUMBER_OF["SetIdentity"])))
         return _ladder(tests)
 
     modules = list(dict.fromkeys(r.modules for r in RULES))
@@ -162,10 +166,10 @@ def _shapes() -> dict[tuple[str, tuple[str, ...]], list[Rule]]:
 
 def _tail_text() -> Column:
     """The text after the candidate's leading words; NULL for a rule that is recognised by them alone."""
-    by_length: dict[int, list[str]] = {}
+    by_length: dict[int, list[int]] = {}
     for rules in _shapes().values():
         for rule in rules:
-            by_length.setdefault(len(rule.prefix), []).append(rule.kind)
+            by_length.setdefault(len(rule.prefix), []).append(_NUMBER_OF[rule.kind])
     skip = _ladder([(F.col("candidate").isin(*kinds), F.lit(n)) for n, kinds in sorted(by_length.items())])
     return _rest(F.col("text"), skip)
 
@@ -181,7 +185,7 @@ def _payload_text() -> Column:
         at = {_LAYOUT[f]: f"${i + 1}" for i, f in enumerate(fields)}
         template = " ".join(at.get(i, "-") for i in range(5))
         # (?s): whatever follows an open-ended match is dropped, line breaks included.
-        branches.append((F.col("candidate").isin(*[r.kind for r in rules]), F.regexp_replace("tail", f"(?s)^{tail}", template)))
+        branches.append((F.col("candidate").isin(*[_NUMBER_OF[r.kind] for r in rules]), F.regexp_replace("tail", f"(?s)^{tail}", template)))
     return _ladder(branches)
 
 
@@ -270,7 +274,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
     # A number that does not fit a BIGINT is NULL here, and the line is no event then.
     numeric_extra = F.col("candidate").isin(*_kinds_with("n"), *_kinds_with("slot_end"))
-    complete = F.col("candidate").isin([r.kind for r in RULES if r.tail is None] + ["SetIdentity"]) | (
+    bare = [_NUMBER_OF[k] for k in [*(r.kind for r in RULES if r.tail is None), "SetIdentity"]]
+    complete = F.col("candidate").isin(bare) | (
         F.col("first").isNotNull()
         & (F.col("parent_text").isNull() | F.col("parent_slot").isNotNull())
         & (~numeric_extra | F.col("extra_n").isNotNull())
@@ -298,15 +303,17 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     kept = event | F.col("body").isNotNull()
     is_epoch = F.col("kind").isin(*_kinds_with("epoch"))
 
-    def of_event(col: Column, *kinds: str) -> Column:
+    def of_event(col: Column, *kinds: int) -> Column:
         return F.when(F.col("kind").isin(*kinds) if kinds else event, col)
 
-    fields = F.struct(
+    step = step.select(
+        "log_id",
+        "seq",
         outcome.alias("outcome"),
         F.when(kept, F.col("ts_ns")).alias("ts_ns"),
         F.when(kept, F.col("level")).alias("level"),
         F.when(kept, F.col("module")).alias("module"),
-        F.col("kind"),
+        F.get(F.array(*[F.lit(k) for k in EVENT_KINDS]), F.col("kind")).alias("kind"),
         of_event(F.when(~is_epoch, F.col("first"))).alias("slot"),
         of_event(F.col("extra_n"), *_kinds_with("slot_end")).alias("slot_end"),
         of_event(F.col("hash")).alias("hash"),
@@ -320,8 +327,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
     # The one-row generator keeps a caller's filter above the parse. Without it the
     # optimizer rewrites a test such as outcome = 'event' into the raw line, through
-    # every step above, and repeats each step wherever the next one uses it.
-    return step.select("log_id", "seq", F.inline(F.array(fields)))
+    # every step above, and repeats each step wherever the next one uses it. A generator
+    # interprets what it is given, so it gets plain columns.
+    return step.select("log_id", "seq", F.inline(F.array(F.struct(*step.columns[2:]))))
 
 
 def parse_events(parsed: DataFrame) -> DataFrame:

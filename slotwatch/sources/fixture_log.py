@@ -202,7 +202,9 @@ def render(events: DataFrame, last_slot: Column, *keep: str) -> DataFrame:
 
     rows = base.select(
         "*", slot_hash(c("slot")).alias("h"), slot_hash(c("parent")).alias("ph")
-    ).select("id", "log_id", *keep, F.inline(F.array_compact(F.array(*records))))
+    ).select("id", "log_id", *keep, F.array(*records).alias("records"))
+    # A generator interprets what it is given: the records are made before it, by compiled code.
+    rows = rows.select("id", "log_id", *keep, F.inline(F.array_compact("records")))
     # Nine digits: six of the microsecond plus three that depend on the row.
     stamp = F.concat(
         F.date_format(F.timestamp_micros(c("us")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),

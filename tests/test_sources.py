@@ -221,3 +221,10 @@ def test_shuffled_stream_reads_small_files_in_four_batches(spark, monkeypatch, s
     assert total == sample_lines.count()
     assert len(sizes) == 4 and all(0.2 * total < sum(s) < 0.3 * total for s in sizes)
     assert max(map(max, sizes)) < 0.1 * total
+
+
+def test_records_and_events_are_made_by_compiled_code(spark):
+    """A generator interprets its expressions, so rendering and parsing give theirs plain columns."""
+    plan = P.parse_lines(fixture.fixture_log(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate " in line]
+    assert len(made) == 2 and not any("CASE WHEN" in line for line in made)
