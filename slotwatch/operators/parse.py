@@ -1,12 +1,14 @@
 """Raw lines to typed events, as one chain of native projections.
 
 Each step is a narrow projection, so the whole parse stays in the scan stage: no
-shuffle, no Python worker. A line is routed by module and by its leading words before
-any pattern runs, and one pattern pass per line yields all payload fields at once.
+shuffle, no Python worker. One pattern pass per line finds its leading words and all payload
+fields at once; the module then decides whether the words count. The steps are
+kept small enough to be compiled as one method.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -114,9 +116,10 @@ EVENT_KINDS = tuple(r.kind for r in RULES) + ("SetIdentity",)
 PAYLOAD = ("slot", "slot_end", "hash", "parent_slot", "parent_hash", "fast", "epoch", "n")
 
 
-# Every pattern writes its groups into one fixed layout, so that a field is always at the
-# same position whatever the kind; a position the kind does not fill holds "-".
-_LAYOUT = {"slot": 0, "epoch": 0, "hash": 1, "parent_slot": 2, "parent_hash": 3, "slot_end": 4, "fast": 4, "n": 4}
+# The pattern writes its groups into one fixed layout, so that a field is always at the same
+# position whatever the kind; a position the kind does not fill is empty.
+_LAYOUT = {"slot": 0, "epoch": 0, "hash": 1, "parent_slot": 2, "parent_hash": 3, "slot_end": 4, "fast": 4, "n": 4, "words": 5}
+_FIELD_END = "\t"  # neither in leading words nor in a payload field
 
 
 def _rest(text: Column, skip: Column | int) -> Column:
@@ -124,69 +127,49 @@ def _rest(text: Column, skip: Column | int) -> Column:
     return F.substring(text, skip + 1, 2**31 - 1)
 
 
-def _ladder(branches: list[tuple[Column, Column]]) -> Column:
-    out = None
-    for test, value in branches:
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
-
-
 # A kind is a number, its place in EVENT_KINDS, until the last step: lines are tested for it many times.
 _NUMBER_OF = {kind: i for i, kind in enumerate(EVENT_KINDS)}
+# A bare first word: anything may follow it after a space.
+_SET_IDENTITY = Rule("SetIdentity", _V, "SetIdentity", r"(?: .*)?\z", ())
+_BY_NUMBER = (*RULES, _SET_IDENTITY)
 
 
 def _kinds_with(field: str) -> list[int]:
     return [_NUMBER_OF[r.kind] for r in RULES if field in r.fields]
 
 
-def _candidate() -> Column:
-    """Number of the kind whose leading words the text has: the module first, then the words."""
-
-    def words(modules: tuple[str, ...]) -> Column:
-        tests = [
-            (F.col("text").startswith(r.prefix), F.lit(_NUMBER_OF[r.kind])) for r in RULES if r.modules == modules
-        ]
-        if modules == _V:
-            # A bare first word: anything may follow it after a space.
-            tests.append((F.substring_index("text", " ", 1) == "SetIdentity", F.lit(_NUMBER_OF["SetIdentity"])))
-        return _ladder(tests)
+def _grammar() -> tuple[str, str]:
+    """One pattern for the text of every kind, leading words included, and what replaces a match: the fields
+    and the words in layout order.
 
-    modules = list(dict.fromkeys(r.modules for r in RULES))
-    return _ladder([(F.col("module").isin(*m), words(m)) for m in modules])
-
-
-def _shapes() -> dict[tuple[str, tuple[str, ...]], list[Rule]]:
-    """Rules by what follows their leading words: the pattern and the fields it fills."""
-    out: dict[tuple[str, tuple[str, ...]], list[Rule]] = {}
-    for rule in RULES:
-        if rule.tail is not None:
-            out.setdefault((rule.tail, rule.fields), []).append(rule)
+    Rules with the same ``tail`` and fields at the same positions share their groups. At most one rule matches a text:
+    where one's words start another's, the shorter rule goes on with a number. A replaced text begins
+    with a number or ``_FIELD_END`` and a matching one with a word, so an unchanged text is one that did not match.
+    """
+    shapes: dict[tuple[str, tuple[int, ...]], list[str]] = {}
+    for rule in _BY_NUMBER:
+        tail = r".*\z" if rule.tail is None else rule.tail
+        shapes.setdefault((tail, tuple(_LAYOUT[f] for f in rule.fields)), []).append(re.escape(rule.prefix))
+    branches, groups, n = [], [""] * len(set(_LAYOUT.values())), 0
+    for (tail, positions), words in shapes.items():
+        branches.append(f"({'|'.join(words)}){tail}")
+        for position in (_LAYOUT["words"], *positions):
+            n += 1
+            groups[position] += f"${n}"
+    # (?s): whatever follows an open-ended match is dropped, line breaks included.
+    return f"(?s)^(?:{'|'.join(branches)})", _FIELD_END.join(groups)
+
+
+def _family(module: Column) -> Column:
+    """The module whose kinds a module may log: the first one of a rule."""
+    out = module
+    for first, *others in dict.fromkeys(r.modules for r in RULES):
+        out = F.when(module.isin(*others), F.lit(first)).otherwise(out) if others else out
     return out
 
 
-def _tail_text() -> Column:
-    """The text after the candidate's leading words; NULL for a rule that is recognised by them alone."""
-    by_length: dict[int, list[int]] = {}
-    for rules in _shapes().values():
-        for rule in rules:
-            by_length.setdefault(len(rule.prefix), []).append(_NUMBER_OF[rule.kind])
-    skip = _ladder([(F.col("candidate").isin(*kinds), F.lit(n)) for n, kinds in sorted(by_length.items())])
-    return _rest(F.col("text"), skip)
-
-
-def _payload_text() -> Column:
-    """The candidate's payload fields in layout order, joined by single spaces.
-
-    One pattern for each shape of ``tail``. No payload field can hold a space and the result always has five
-    parts, which no matching text has, so an unchanged text means the pattern did not match.
-    """
-    branches = []
-    for (tail, fields), rules in _shapes().items():
-        at = {_LAYOUT[f]: f"${i + 1}" for i, f in enumerate(fields)}
-        template = " ".join(at.get(i, "-") for i in range(5))
-        # (?s): whatever follows an open-ended match is dropped, line breaks included.
-        branches.append((F.col("candidate").isin(*[_NUMBER_OF[r.kind] for r in rules]), F.regexp_replace("tail", f"(?s)^{tail}", template)))
-    return _ladder(branches)
+def _of_kind(values: list[str], number: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), number)
 
 
 def parse_prefix(lines: DataFrame) -> DataFrame:
@@ -244,47 +227,49 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             ).when(F.col("module").isin(BANK_MODULE, *_C), F.col("body")),
         ).alias("text"),
     )
-    step = step.select(*base, "body", "ok", "text", _candidate().alias("candidate"))
-    step = step.select(*base, "body", "ok", "candidate", _tail_text().alias("tail"))
-    step = step.select(*base, "body", "ok", "tail", "candidate", _payload_text().alias("payload"))
-    matched = F.col("payload") != F.col("tail")
+    pattern, fields = _grammar()
+    step = step.select(*base, "body", "ok", "text", F.regexp_replace("text", pattern, fields).alias("payload"))
+    matched = F.col("payload") != F.col("text")
+    step = step.select(*base, "body", "ok", F.when(matched, F.split("payload", _FIELD_END)).alias("fields"))
+    words = F.array(*[F.lit(r.prefix) for r in _BY_NUMBER])
     step = step.select(
-        *base, "body", "ok", "candidate", F.when(matched, F.split("payload", " ")).alias("fields")
+        *base,
+        "body",
+        "ok",
+        *[F.get("fields", F.lit(_LAYOUT[f])).alias(f"_{f}") for f in ("slot", "hash", "parent_slot", "parent_hash", "n")],
+        (F.array_position(words, F.get("fields", F.lit(_LAYOUT["words"]))) - 1).cast("int").alias("candidate"),
     )
 
-    def text(field: str) -> Column:
-        return F.get("fields", F.lit(_LAYOUT[field]))
-
     def number(field: str) -> Column:
         # A failing try_cast raises and catches inside, so it must stay the rare case.
-        return F.when(~text(field).isin("-", "true", "false"), text(field).try_cast("bigint"))
+        return F.when(~F.col(field).isin("", "true", "false"), F.col(field).try_cast("bigint"))
 
     step = step.select(
         *base,
         "body",
         "ok",
         "candidate",
-        number("slot").alias("first"),
-        F.nullif(text("hash"), F.lit("-")).alias("hash"),
-        F.nullif(text("parent_slot"), F.lit("-")).alias("parent_text"),
-        number("parent_slot").alias("parent_slot"),
-        F.nullif(text("parent_hash"), F.lit("-")).alias("parent_hash"),
-        F.nullif(text("fast"), F.lit("-")).alias("extra"),
-        number("n").alias("extra_n"),
+        "_slot",
+        number("_slot").alias("first"),
+        F.nullif("_hash", F.lit("")).alias("hash"),
+        "_parent_slot",
+        number("_parent_slot").alias("parent_slot"),
+        F.nullif("_parent_hash", F.lit("")).alias("parent_hash"),
+        F.col("_n").alias("extra"),
+        number("_n").alias("extra_n"),
     )
     # A number that does not fit a BIGINT is NULL here, and the line is no event then.
-    numeric_extra = F.col("candidate").isin(*_kinds_with("n"), *_kinds_with("slot_end"))
-    bare = [_NUMBER_OF[k] for k in [*(r.kind for r in RULES if r.tail is None), "SetIdentity"]]
-    complete = F.col("candidate").isin(bare) | (
-        F.col("first").isNotNull()
-        & (F.col("parent_text").isNull() | F.col("parent_slot").isNotNull())
-        & (~numeric_extra | F.col("extra_n").isNotNull())
+    complete = (
+        ((F.col("_slot") == "") == F.col("first").isNull())
+        & ((F.col("_parent_slot") == "") == F.col("parent_slot").isNull())
+        & (F.col("extra").isin("", "true", "false") == F.col("extra_n").isNull())
     )
+    logged = _of_kind([r.modules[0] for r in _BY_NUMBER], F.col("candidate")) == _family(F.col("module"))
     step = step.select(
         *base,
         "body",
         "ok",
-        F.when(complete, F.col("candidate")).alias("kind"),
+        F.when(logged & complete, F.col("candidate")).alias("kind"),
         "first",
         "hash",
         "parent_slot",
@@ -313,7 +298,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.when(kept, F.col("ts_ns")).alias("ts_ns"),
         F.when(kept, F.col("level")).alias("level"),
         F.when(kept, F.col("module")).alias("module"),
-        F.get(F.array(*[F.lit(k) for k in EVENT_KINDS]), F.col("kind")).alias("kind"),
+        _of_kind(list(EVENT_KINDS), F.col("kind")).alias("kind"),
         of_event(F.when(~is_epoch, F.col("first"))).alias("slot"),
         of_event(F.col("extra_n"), *_kinds_with("slot_end")).alias("slot_end"),
         of_event(F.col("hash")).alias("hash"),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
-from conftest import HASH, HASH2, other, votor
+from conftest import HASH, HASH2, SF, other, votor
 from pyspark.sql import functions as F
 
 from slotwatch.operators import parse as P
+from slotwatch.operators import slots as S
+from slotwatch.sources.fixture_log import fixture_log
 
 TS = "2026-05-01T00:00:00.000000000Z"
 CLUSTER = P.CLUSTER_SLOTS_MODULE
@@ -163,3 +167,37 @@ def test_outcomes_add_up(sample_lines):
     )
     assert counts.where("total <> lines").count() == 0
     assert counts.agg(F.sum("lines")).first()[0] == sample_lines.count()
+
+
+def test_words_decide_only_in_their_module(make_lines):
+    """One pattern holds the words of all modules; a kind counts only where its own module logs it."""
+    lines = {
+        votor("Refreshing vote \t\t\t\t\t"): "RefreshingVote",
+        votor("SetIdentity"): "SetIdentity",
+        votor("SetIdentity\tx"): None,
+        votor("First shred 13 (forced)"): None,
+        votor("First shred (13, " + HASH + ")"): None,
+        votor("setting root 13"): None,
+        other(P.ROOT_MODULE, "K: First shred 13"): None,
+        other(P.BANK_MODULE, "First shred 13"): None,
+        other(P.BANK_MODULE, "No epoch info for slot 6"): None,
+        other(CLUSTER, f"bank frozen: 42 hash: {HASH} signature_count: 99"): None,
+        other(P.CLUSTER_SLOTS_PARENT_MODULE, "No epoch info for slot 6"): "NoEpochInfoForSlot",
+        votor(f"Block (7, {HASH}) parent (9223372036854775808, {HASH2})"): None,
+        other(P.BANK_MODULE, f"bank frozen: 42 hash: {HASH} signature_count: 9223372036854775808 x"): None,
+    }
+    got = P.parse_lines(make_lines(list(lines))).orderBy("seq").collect()
+    assert [r["kind"] for r in got] == list(lines.values())
+
+
+def test_parser_is_compiled_as_a_whole(spark, capsys):
+    """The JVM compiles no method above 8000 bytes, and Spark then runs each projection on its own, which copies
+    every row, texts included, as often as there are projections."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        P.parse_lines(fixture_log(spark, SF)).withColumn("class", S.line_class()).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    stages = [s for s in capsys.readouterr().out.split("== Subtree ") if "inline(array(struct(outcome" in s]
+    sizes = [int(re.search(r"maxMethodCodeSize:(\d+)", s)[1]) for s in stages]
+    assert sizes and max(sizes) < 8000
