@@ -57,4 +57,5 @@ def join_small(
     n = salts(big)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(n)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    # Spark's estimate does not see the copies and may take them for a table to broadcast: never do.
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -90,6 +90,15 @@ def test_join_small_salted_equals_broadcast(spark):
         assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
 
 
+def test_salted_copies_are_never_broadcast(spark):
+    big = spark.range(2000).select((F.col("id") % 7).alias("k"), "id")
+    small = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k bigint, v string")
+    for how in ("inner", "left"):
+        joined = join_small(big, small, ["k"], how, max_rows=2)
+        joined.collect()
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_staged_tables_and_report(spark, tmp_path):
     lines = [votor("First shred 7"), votor(f"Finalized (7, {HASH}) fast: true", "2026-05-01T00:00:00.5Z")]
     df = spark.createDataFrame([("solo", i, line) for i, line in enumerate(lines)], "log_id string, seq bigint, line string")
