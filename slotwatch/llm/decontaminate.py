@@ -10,6 +10,10 @@ every item under all such changes of each block, so none within the radius is mi
 at similarity 0.75 shares six sevenths of the item's words, each repetition a word of its
 own; one fingerprint of it is beyond the radius in up to 4 % of cases, both are in 0.2 %.
 What is found is verified by the exact similarity of shingles weighted by how often they occur.
+
+Only what comes from the benchmark alone is broadcast, and bit maps of a fixed size. What grows with the
+documents is shuffled: texts are screened by a bit map of the documents that have windows, or are
+contaminated, so that few others are shuffled with them.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from slotwatch.llm.common import id_key, packed, stage, table, text_of, words
 from slotwatch.llm.merkle import numbered
-from slotwatch.operators.sizing import join_small
+from slotwatch.operators.sizing import fits_broadcast, join_small
 
 SHINGLE = 5
 SIMILAR = 0.75
@@ -29,6 +33,8 @@ PRINTS = ("fp0", "fp1")
 BLOCKS, BLOCK_BITS = 4, 16
 FLIPS = RADIUS // BLOCKS
 CHANGES = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= FLIPS]  # of one block
+MAP_BITS, PIECE_BITS = 25, 15  # a bit map of keys is 4 MB in pieces of 4 KB, the size of bitmap_construct_agg
+SHINGLES_MAX_BYTES = 8 << 20  # of the items' shingles, to be broadcast
 
 
 def tokens(text: Column) -> Column:
@@ -104,6 +110,22 @@ def near_items(prints: DataFrame, items: DataFrame) -> DataFrame:
     return found.where(within[0] | within[1]).select("n", *PRINTS, "item_id").distinct()
 
 
+def screened(rows: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` plus ``_maybe``: false only where ``marked`` has no row of the same ``keys`` (none of them null).
+
+    Keys are looked up in a bit map of their hashes, which is broadcast and never larger than
+    2^``MAP_BITS`` bits, however many there are.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 64 - MAP_BITS)
+    piece = F.shiftright(place, PIECE_BITS).alias("_piece")
+    bit = place.bitwiseAND(F.lit((1 << PIECE_BITS) - 1)).alias("_bit")
+    bits = marked.select(piece, bit).repartition("_piece").groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, F.col("_bit").bitwiseAND(F.lit(7)).cast("int")) == 1
+    found = rows.withColumns({"_piece": piece, "_bit": bit}).join(F.broadcast(stage(bits, "bench-bits")), "_piece", "left")
+    return found.select(*rows.columns, F.coalesce(is_set, F.lit(False)).alias("_maybe"))
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``[doc_id, h, item_id, start, n, similarity]``: all windows that are similar to an item, ``h``
     being a hash of the document's text."""
@@ -141,9 +163,10 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     # Few documents have windows; their texts are read again rather than carried along.
     wanted = windows.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
-    key = lambda df: df.withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    wanted = stage(key(wanted).drop("doc_id"), "bench-wanted")
-    texts = join_small(key(rows), wanted, ["_k", "h"]).select("doc_id", "_k", "h", "w", F.explode("windows").alias("x"))
+    wanted = stage(wanted.select(id_key("doc_id").alias("_k"), "h", "windows"), "bench-wanted")
+    texts = docs.select("doc_id", text_of().alias("text"), id_key("doc_id").alias("_k")).withColumn("h", F.xxhash64("text"))
+    texts = screened(texts, wanted, ["_k", "h"]).where("_maybe").hint("merge").join(wanted, ["_k", "h"])
+    texts = texts.select("doc_id", "_k", "h", tokens(F.col("text")).alias("w"), F.explode("windows").alias("x"))
     cut = stage(
         texts.select("doc_id", "_k", "h", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"))
         .dropDuplicates(["_k", "h", "start", "n"]),
@@ -151,10 +174,15 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     ids = ["_k", "h", "start", "n"]
     prints = stage(simhash(cut, ids, "w"), "bench-prints")
-    near = near_items(prints.select("n", *PRINTS).distinct(), simhash(item, ["item_id", "n"], "w"))
-    pairs = join_small(prints, stage(near, "bench-near"), ["n", *PRINTS]).select(*ids, "item_id")
+    near = stage(near_items(prints.select("n", *PRINTS).distinct(), simhash(item, ["item_id", "n"], "w")), "bench-near")
+    # A print that many windows share makes a skewed partition, which adaptive execution splits.
+    pairs = prints.hint("merge").join(near, ["n", *PRINTS]).select(*ids, "item_id")
     shingled = stage(item.select("item_id", "n", weighted_shingles(F.col("w")).alias("item_shingles")), "bench-shingles")
-    both = join_small(pairs.join(cut, ids), shingled, ["item_id", "n"])
+    both = pairs.hint("merge").join(cut, ids)
+    if fits_broadcast(shingled, max_bytes=SHINGLES_MAX_BYTES):
+        both = both.join(F.broadcast(shingled), ["item_id", "n"])
+    else:
+        both = both.hint("merge").join(shingled, ["item_id", "n"])
     scored = both.select(
         "doc_id", "h", "item_id", "start", "n", similarity(weighted_shingles(F.col("w")), F.col("item_shingles")).alias("similarity")
     )
@@ -182,10 +210,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item, told by doc_id (also null) and text."""
-    bad = matches(docs, items).select(id_key("doc_id").alias("k"), "h", F.lit(True).alias("bad")).distinct()
-    rows = packed(docs, k=id_key("doc_id"), h=F.xxhash64(text_of()))
-    rows = join_small(rows, stage(bad, "bench-bad"), ["k", "h"], "left")
-    return rows.where(F.col("bad").isNull()).select("row.*")
+    bad = matches(docs, items).select(id_key("doc_id").alias("k"), "h").distinct()
+    bad = stage(bad, "bench-bad")
+    rows = screened(packed(docs, k=id_key("doc_id"), h=F.xxhash64(text_of())), bad, ["k", "h"])
+    doubted = rows.where("_maybe").hint("merge").join(bad, ["k", "h"], "left_anti")
+    return rows.where("not _maybe").select("row.*").unionByName(doubted.select("row.*"))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

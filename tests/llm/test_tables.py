@@ -6,6 +6,7 @@ import hashlib
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from check_all import compare, connect
 from slotwatch.llm import chat, decontaminate, html_text, mixing, queries, warc
@@ -303,6 +304,43 @@ def test_decontamination_near_the_limit(spark):
     assert len(got) >= 0.995 * len(docs)
 
 
+def test_decontamination_broadcasts_nothing_that_grows_with_documents(spark, monkeypatch):
+    import random
+
+    from slotwatch.operators import sizing
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(4)]
+    docs = [(k, " ".join([*(word() for _ in range(9)), items[k % 4][1] if k % 3 else word(), *(word() for _ in range(9))])) for k in range(90)]
+    docs += [(None, items[0][1]), (None, None), (None, "no item"), docs[1], docs[0]]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    checked, broadcast = [], []
+    fits, mark = sizing.fits_broadcast, F.broadcast
+    # As if there were more rows than may be broadcast: joins that check their size shuffle.
+    monkeypatch.setattr(sizing, "fits_broadcast", lambda small, *a, **b: checked.append(small.columns) or False)
+    monkeypatch.setattr(decontaminate, "fits_broadcast", fits)
+    monkeypatch.setattr(F, "broadcast", lambda df: broadcast.append(df.columns) or mark(df))
+    want = {(d, i) for d, t in docs for i, x in items if t and x in t}
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()]
+    assert set(got) == want and len(got) == len(want)
+    kept = decontaminate.clean(frame, bench)
+    assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in frame.collect() if not any(x in (r.text or "") for _, x in items))
+    assert all(c == ["gram", "offset", "n"] for c in checked) and checked
+    assert all(c in (["_piece", "_bits"], ["item_id", "n", "item_shingles"]) for c in broadcast) and broadcast
+
+
+def test_a_screen_leaves_out_only_rows_without_a_mark(spark):
+    rows = spark.range(20000).withColumn("h", F.xxhash64("id"))
+    marked = rows.where("id % 97 = 0").select("id", "h")
+    got = decontaminate.screened(rows, marked, ["id", "h"])
+    assert got.columns == ["id", "h", "_maybe"] and got.count() == 20000
+    assert got.where("id % 97 = 0 and not _maybe").count() == 0
+    assert got.where("id % 97 <> 0 and _maybe").count() < 20
+    assert decontaminate.screened(rows, marked.limit(0), ["id", "h"]).where("_maybe").count() == 0
+
+
 def test_blocks_find_all_within_the_radius(spark):
     import random
 
